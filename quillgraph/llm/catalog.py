@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import warc
+from quillgraph.llm import mixing, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_bundle": warc.op1_warc_bundle,
+    "op2_url_filter": urlfilter.op2_url_filter,
+    "op8_source_mix": mixing.op8_source_mix,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc_bundle": warc.ORACLE,
+    "op2_url_filter": urlfilter.ORACLE,
+    "op8_source_mix": mixing.ORACLE,
+}

@@ -259,4 +259,19 @@ def op1_warc_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     root = new_path(spark, "warc")
     index = write_archives(plan_revisits(table(spark, sf_dir, "pages")), root)
-    return read_archives(index, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "file", "frame", "frame_offset")
+    return read_archives(index, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE = f"""
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), d AS (
+  SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS payload_digest FROM p
+), l AS (
+  SELECT payload_digest, max(page_id) AS last FROM d WHERE payload_bytes >= {REVISIT_BYTES} GROUP BY payload_digest HAVING count(*) > 1
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN last IS NOT NULL AND page_id IS DISTINCT FROM last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN last IS NOT NULL AND page_id IS DISTINCT FROM last THEN last END AS refers_to
+FROM d LEFT JOIN l USING (payload_digest)
+"""
