@@ -208,7 +208,7 @@ def read_archives(index: DataFrame, root: str, *, payloads: bool = False) -> Dat
                             names=[*keys, "file", "frame", "frame_offset"],
                         )
 
-    files = index.select("file").distinct().repartition(shuffle_partitions(index.sparkSession), "file")
+    files = index.select("file").distinct().repartition(shuffle_partitions(index.sparkSession))
     return files.mapInArrow(read, RECORD_SCHEMA)
 
 
