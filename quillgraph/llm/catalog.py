@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import mixing, urlfilter, warc
+from quillgraph.llm import mixing, pii, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_bundle": warc.op1_warc_bundle,
     "op2_url_filter": urlfilter.op2_url_filter,
     "op8_source_mix": mixing.op8_source_mix,
+    "op9_pii": pii.op9_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
