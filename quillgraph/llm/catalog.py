@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import mixing, pii, urlfilter, warc
+from quillgraph.llm import bpe, mixing, pii, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_bundle": warc.op1_warc_bundle,
     "op2_url_filter": urlfilter.op2_url_filter,
+    "op3_bpe": bpe.op3_bpe,
     "op8_source_mix": mixing.op8_source_mix,
     "op9_pii": pii.op9_pii,
 }
