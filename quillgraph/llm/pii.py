@@ -34,6 +34,7 @@ KINDS = ("email", "ip", "card", "phone")
 #: Documents (at most 20,000 characters each) that fit the CRF.
 TRAIN_DOCS = 1000
 TRAIN_CHARS = 20_000
+TRAIN_AMONG = 5000
 THRESHOLD = 0.9
 #: Log-odds by which tokens outside of base spans are held back from every kind.
 UNMATCHED = 3.0
@@ -309,10 +310,14 @@ def redact(text: str, spans: list[Span]) -> str:
     return "".join(out) + text[at:]
 
 
-def training_sample(docs: DataFrame, *, limit: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> list[str]:
-    """At most `limit` documents with a digit or @, chosen by a hash of their text."""
-    rows = docs.select("text").where(F.col("text").rlike("[0-9@]") & (F.length("text") <= chars)).select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(limit).select("text").collect()
-    return [r[0] for r in rows]
+def training_sample(docs: DataFrame, *, limit: int = TRAIN_DOCS, among: int = TRAIN_AMONG, chars: int = TRAIN_CHARS) -> list[str]:
+    """At most `limit` texts with a digit or @, of about `among` documents that a
+    seeded hash of doc_id picks (all documents, where there are fewer)."""
+    parts, n = 1_000_000, docs.count()
+    share = parts if n <= among else int(parts * among / n)
+    few = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(parts)) < share).where(F.col("text").rlike("[0-9@]") & (F.length("text") <= chars))
+    rows = few.select(F.xxhash64("text").alias("h"), "text").collect()
+    return [r.text for r in sorted(rows)[:limit]]
 
 
 def train(docs: DataFrame) -> dict[str, np.ndarray]:
