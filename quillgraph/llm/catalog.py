@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import bpe, mixing, pii, urlfilter, warc
+from quillgraph.llm import bpe, mixing, pii, quality, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_bundle": warc.op1_warc_bundle,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": bpe.op3_bpe,
     "op8_source_mix": mixing.op8_source_mix,
     "op9_pii": pii.op9_pii,
+    "op10_quality": quality.op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
