@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import bpe, mixing, pii, quality, toxicity, urlfilter, warc
+from quillgraph.llm import bpe, mixing, neardup, pii, quality, toxicity, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_bundle": warc.op1_warc_bundle,
     "op2_url_filter": urlfilter.op2_url_filter,
     "op3_bpe": bpe.op3_bpe,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op7_near_dedup": neardup.op7_near_dedup,
     "op8_source_mix": mixing.op8_source_mix,
     "op9_pii": pii.op9_pii,
     "op10_quality": quality.op10_quality,
