@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import bpe, mixing, neardup, pii, quality, toxicity, urlfilter, warc
+from quillgraph.llm import ann, bpe, mixing, neardup, pii, quality, topk, toxicity, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_bundle": warc.op1_warc_bundle,
     "op2_url_filter": urlfilter.op2_url_filter,
     "op3_bpe": bpe.op3_bpe,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_ann": ann.op5_ann,
+    "op6_top_k": topk.op6_top_k,
     "op7_near_dedup": neardup.op7_near_dedup,
     "op8_source_mix": mixing.op8_source_mix,
     "op9_pii": pii.op9_pii,
@@ -22,5 +24,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_bundle": warc.ORACLE,
     "op2_url_filter": urlfilter.ORACLE,
+    "op6_top_k": topk.ORACLE,
     "op8_source_mix": mixing.ORACLE,
 }
