@@ -1,16 +1,56 @@
 """The corpus pipeline: documents in, encoded training documents out.
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns
-a DataFrame, which run() writes as Parquet and rereads as the next stage's docs.
+a DataFrame, which run() writes as Parquet and rereads as the next stage's docs. All
+but the last return the columns of documents.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillgraph.llm.common import table, written
+from quillgraph.llm import bpe, mixing, neardup, pii, quality
+from quillgraph.llm.common import small_batches, table, written
 
-STAGES: list = []
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the factorisation machine rejects."""
+    small_batches(spark)
+    scored = quality.score_documents(docs, quality.train_query(spark, docs, sf_dir))
+    return scored.where(F.col("score") >= quality.CUT).select(*docs.columns)
+
+
+def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each class of exact and near copies."""
+    small_batches(spark)
+    return neardup.keep_one(docs)
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data by its kind."""
+    small_batches(spark)
+    return pii.redact_documents(docs, pii.train(docs))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take blocks of words by source; repeated documents are repeated rows."""
+    return mixing.apply_mix(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text, checked by decoding them."""
+    small_batches(spark)
+    return bpe.encode_checked(docs)
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near_dedup", keep_first_copies),
+    ("pii", redact_pii),
+    ("mix", mix_sources),
+    ("bpe", encode),
+]
 
 #: Trained models, MinHash groups and token ids aren't SQL; tests hold the stages
 #: against brute force instead.

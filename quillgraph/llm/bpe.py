@@ -245,6 +245,31 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def encode_checked(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, source, n_tokens, ids, round_trip): whole texts encoded, and whether
+    the ids decode to the text again; a null text is empty."""
+    path = path or default_vocabulary()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(path)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(2).to_pylist()]
+            for at in range(0, len(texts), 64):
+                own = texts[at : at + 64]
+                pieces = v.pieces(own)
+                seen = v.known(pieces)
+                ids = [[i for p in x for i in seen[p][0]] for x in pieces]
+                same = [b"".join([seen[p][2] for p in x]).decode("utf-8", "replace") == t for x, t in zip(pieces, own)]
+                v.forget_long(pieces)
+                part = batch.slice(at, len(own))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(list(map(len, ids)), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same)],
+                    names=["doc_id", "source", "n_tokens", "ids", "round_trip"],
+                )
+
+    return docs.select(F.col("doc_id").cast("long"), "source", "text").mapInArrow(run, "doc_id long, source string, n_tokens long, ids array<int>, round_trip boolean")
+
+
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, decoded) of rows with doc_id and ids; null ids decode to null."""
     path = path or default_vocabulary()

@@ -115,6 +115,28 @@ def mix(docs: DataFrame, *, seed: str = SEED, weights=WEIGHTS, max_repeats: int
     return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
+def apply_mix(docs: DataFrame, **options) -> DataFrame:
+    """The documents as the mix takes them: a row for each whole copy, and one with the
+    first words where a block's end cuts the text; what isn't taken goes.
+
+    `taken` belongs to a row, so rows get their own number while it is worked out."""
+    names = docs.columns
+    # the row's own number must not depend on how the rows are read again
+    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    keyed = numbered.select(F.struct("doc_id", "_row").alias("doc_id"), "text", "source")
+    mixed = mix(keyed.withColumn("doc_id", F.to_json(F.struct(F.col("doc_id.doc_id").alias("d"), F.col("doc_id._row").alias("r")))), **options)
+    taken = mixed.where("taken > 0").select(F.get_json_object("doc_id", "$.r").cast("long").alias("_row"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    part = F.col("_taken") % F.col("_size")
+    rows = numbered.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")))))
+    cut = (F.col("_copy") > F.floor(F.col("_taken") / F.col("_size"))) & (part > 0)
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), part.cast("int")), "")
+    text = F.when(cut, first).otherwise(F.col("text"))
+    out = rows.withColumn("text", text)
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*names)
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the contract's weights."""
     return mix(table(spark, sf_dir, "documents"))
