@@ -108,7 +108,8 @@ def language_of(text: Column) -> Column:
     """en or fr by their small words in the first 50,000 characters; empty with fewer
     than 30, or less than 1.5 times the other's."""
     words = F.split(F.lower(F.substring(text, 1, 50_000)), "[^a-zàâçéèêëîïôûùüÿœ]+")
-    n = {k: F.size(F.filter(words, lambda w, v=v: w.isin(*v))) for k, v in FUNCTION_WORDS.items()}
+    hits = lambda own: F.size(F.filter(words, lambda w: w.isin(*own)))
+    n = {k: hits(own) for k, own in FUNCTION_WORDS.items()}
     first = F.when(n["en"] >= n["fr"], "en").otherwise("fr")
     best, second = F.greatest(*n.values()), F.least(*n.values())
     return F.when((best < 30) | (best < 1.5 * second), "").otherwise(first)
