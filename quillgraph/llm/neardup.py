@@ -13,11 +13,12 @@ No count is too large. Points above a document's running maximum can't change it
 signature, so nearly all shingles cost one hash; everything is vectorised over the
 shingles of an Arrow batch.
 
-Exact copies collapse first. Representatives are banded; each bucket compares its
-members with its least member by the exact overlap of their multisets. Buckets that
-then still span more than one class compare across classes, but for pairs that the
-triangle inequality (1 - weighted Jaccard is a metric) rules out. Classes are the
-connected components of the verified links. Links and classes are tables throughout.
+Exact copies collapse first. Representatives are banded. In each round, each bucket
+compares its members with one of them (another one each round) by the exact overlap of
+their multisets; buckets of one class are done, and what then is left in buckets of
+several classes is compared pair by pair, in large buckets in blocks. Sketches of 4 bits a component sort out
+pairs that can't be similar before any text moves. Classes are the connected components
+of the verified links. Links and classes are tables throughout.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import small_batches, table, written
@@ -37,6 +38,11 @@ SIMILARITY = 0.8
 #: 1 - (1 - 0.8^6)^24 = 0.9993 of the pairs at 0.8 share a bucket.
 BANDS, ROWS = 24, 6
 M = BANDS * ROWS
+#: Rounds in which each bucket compares with one member, before pairs are.
+ROUNDS = 3
+#: Larger buckets are compared in blocks of so many rows instead of by a join.
+SMALL_BUCKET = 64
+BLOCK = 1024
 
 _U = np.uint64
 
@@ -143,29 +149,59 @@ def band_keys(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> n
     return out
 
 
-def banded(reps: DataFrame) -> DataFrame:
-    """(rep, bands array<long>) of (rep, text); rows without words have no bands."""
+def sketches(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, sketch, bands) of (doc_id, text), in one pass over the texts.
+
+    `key` is the digest of the whole text (null for a null text). `sketch` has 4 bits of
+    each signature component, 16 components in a long; a text without words has neither
+    sketch nor bands."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc, h, count = shingles(b.column(1))
-            keys = band_keys(bag_minhash(doc, h, count, b.num_rows))
-            some = np.bincount(doc, minlength=b.num_rows) > 0
-            flat = pa.array(keys[some].ravel(), pa.int64())
-            lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32), flat)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(some)), lists], names=["rep", "bands"])
+            doc, h, count = shingles(b.column(2))
+            signatures = bag_minhash(doc, h, count, b.num_rows)
+            empty = np.bincount(doc, minlength=b.num_rows) == 0
+            lists = lambda x: pa.array([None if e else r for r, e in zip(x.tolist(), empty)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists(packed(signatures)), lists(band_keys(signatures))], names=["doc_id", "key", "sketch", "bands"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.unhex(F.sha2("text", 256)).alias("key"), "text").mapInArrow(run, "doc_id long, key binary, sketch array<long>, bands array<long>")
+
+
+def packed(signatures: np.ndarray) -> np.ndarray:
+    """4 bits of each component, 16 to a long."""
+    out = np.zeros((len(signatures), M // 16), np.uint64)
+    for j in range(M):
+        out[:, j // 16] |= (signatures[:, j] & _U(15)) << _U(4 * (j % 16))
+    return out.view(np.int64)
+
+
+def agreement(a: str, b: str) -> Column:
+    """In how many components two sketches agree: equal nibbles, by bit arithmetic."""
+    total = F.lit(0)
+    for i in range(M // 16):
+        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+        odd = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3)).bitwiseAND(F.lit(0x1111111111111111))
+        total = total + (16 - F.bit_count(odd))
+    return total
+
 
-    return reps.select("rep", "text").mapInArrow(run, "rep long, bands array<long>")
+def least_agreement(similarity: float) -> int:
+    """The agreement that pairs of the similarity miss with a chance of some 1 in
+    30,000: four standard deviations below their mean (components also agree by chance,
+    1 in 16)."""
+    p = similarity + (1 - similarity) / 16
+    return int(np.floor(M * p - 4 * np.sqrt(M * p * (1 - p))))
 
 
-def similarities(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(a, b, similarity): the exact weighted Jaccard similarity of pairs(a, b).
+def similarities(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b, similarity): the exact weighted Jaccard similarity of pairs(a, b) of
+    doc_ids; of rows that repeat a doc_id, the most similar count.
 
     The texts of documents in pairs are shuffled to their pairs; nothing is sent that
     isn't compared."""
-    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    texts = written(reps.join(wanted, "rep", "left_semi").select("rep", "text"), "neardup-texts")
-    both = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(wanted, "doc_id", "left_semi"), "neardup-texts")
+    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,7 +220,7 @@ def similarities(pairs: DataFrame, reps: DataFrame) -> DataFrame:
                 out[i] = least / max(1, ca[x].sum() + cb[y].sum() - least)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], names=["a", "b", "similarity"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -193,52 +229,150 @@ def components(links: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps on tables in the shared folder until
     nothing changes; each step only regroups edges, and no step's groups are collected."""
     edges = written(links.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u < v").distinct(), "neardup-edges")
+    state = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    before = state(edges)
     while True:
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
-        large = written(large, "neardup-large")
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("m").alias("x"), F.col("v").alias("y")).where("x <> y").union(least.select(F.col("m").alias("x"), F.col("u").alias("y"))).select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
-        small = written(small, "neardup-small")
-        signature = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if signature(small) == signature(edges):
+        edges = written(small, "neardup-edges")
+        now = state(edges)
+        if now == before:
             return edges.select(F.col("v").alias("rep"), F.col("u").alias("least"))
-        edges = small
-
-
-def _with_class(members: DataFrame, classes: DataFrame) -> DataFrame:
-    return members.join(classes, "rep", "left").withColumn("least", F.coalesce("least", "rep"))
-
-
-def near_classes(reps: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
-    """(rep, least) of reps(rep, text), for those with near duplicates only."""
-    members = written(banded(reps).select("rep", F.explode("bands").alias("bucket")), "neardup-bands")
-    leaders = members.groupBy("bucket").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "a")
-    grouped = written(members.join(leaders, "bucket"), "neardup-buckets")
-    stars = grouped.where("rep > a").select("a", F.col("rep").alias("b")).distinct()
-    judged = written(similarities(stars, reps), "neardup-stars")
-    links = judged.where(F.col("similarity") >= similarity)
-    classes = components(links)
-    # What is left: buckets of several classes. Distances to the bucket's least member
-    # tell which pairs can't be similar enough; a pair in one class needs no check.
-    known = judged.select("a", F.col("b").alias("rep"), (1 - F.col("similarity")).alias("far"))
-    placed = _with_class(grouped.join(known, ["a", "rep"], "left").withColumn("far", F.coalesce("far", F.lit(0.0))), classes)
-    mixed = placed.groupBy("bucket").agg(F.min("least").alias("lo"), F.max("least").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi and n > 2").select("bucket")
-    rest = written(placed.join(mixed, "bucket", "left_semi").where("rep > a"), "neardup-rest")
-    # Every member against those outside its class whose distance is within reach; the
-    # least member has been compared with all. Strips of the distance make an equi-join.
-    reach = 1 - similarity
-    strip = F.floor(F.col("far") / reach).cast("int")
-    left = rest.select("bucket", strip.alias("strip"), F.col("rep").alias("a"), F.col("far").alias("far_a"), F.col("least").alias("least_a"))
-    right = rest.select("bucket", F.explode(F.array(strip - 1, strip, strip + 1)).alias("strip"), F.col("rep").alias("b"), F.col("far").alias("far_b"), F.col("least").alias("least_b"))
-    pairs = left.join(right, ["bucket", "strip"]).where((F.col("a") < F.col("b")) & (F.col("least_a") != F.col("least_b")) & (F.abs(F.col("far_a") - F.col("far_b")) <= reach + 1e-9)).select("a", "b").distinct()
-    pairs = written(pairs.join(judged.select("a", "b"), ["a", "b"], "left_anti"), "neardup-pairs")
-    if pairs.isEmpty():
-        return classes
-    more = written(similarities(pairs, reps).where(F.col("similarity") >= similarity), "neardup-more")
-    return classes if more.isEmpty() else components(links.select("a", "b").union(more.select("a", "b")))
+        before = now
+
+
+def _agreements(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The agreement of each sketch of x with each of y."""
+    total = np.zeros((len(x), len(y)), np.int32)
+    for k in range(x.shape[1]):
+        d = x[:, None, k] ^ y[None, :, k]
+        d |= d >> _U(1)
+        d |= d >> _U(2)
+        total += 16 - np.bitwise_count(d & _U(0x1111111111111111)).astype(np.int32)
+    return total
+
+
+def _dealt_blocks(rows: DataFrame) -> DataFrame:
+    """Rows of large buckets for pairs of blocks (bucket, i, j), i <= j: a row of block
+    b comes to (b, j) as `left` and to (i, b) as right, so each group has at most about
+    2 * BLOCK rows, however large its bucket is."""
+    n = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n_blocks"))
+    own = F.pmod(F.xxhash64("rep", F.lit(5)), F.col("n_blocks")).cast("int")
+    put = rows.join(n, "bucket").withColumn("own", own)
+    left = F.transform(F.sequence(F.col("own"), F.col("n_blocks") - 1), lambda j: F.struct(F.col("own").alias("i"), j.alias("j"), F.lit(True).alias("left")))
+    right = F.transform(F.sequence(F.lit(0), F.col("own")), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"), F.lit(False).alias("left")))
+    return put.withColumn("to", F.explode(F.concat(left, right))).select(*rows.columns, "to.*")
+
+
+def _sides(group: pa.Table, least_agree: int):
+    """The rows of both sides, and which pairs of them are to be looked at."""
+    left = group.column("left").to_numpy()
+    rep, cls = group.column("rep").to_numpy(), group.column("least").to_numpy()
+    sketch = np.array(group.column("sketch").to_pylist(), np.int64).view(np.uint64).reshape(len(rep), -1)
+    x, y = np.flatnonzero(left), np.flatnonzero(~left)
+    look = (_agreements(sketch[x], sketch[y]) >= least_agree) & (cls[x][:, None] != cls[y][None, :])
+    same_block = group.column("i")[0].as_py() == group.column("j")[0].as_py() if group.num_rows else False
+    if same_block:
+        look &= rep[x][:, None] < rep[y][None, :]
+    return rep, x, y, look
+
+
+def block_links(rows: DataFrame, slim: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all links between classes within large buckets, rows(bucket, rep, sketch,
+    least). Pairs are never rows: a first pass over sketches finds the members that have
+    any pair to look at; their texts are then compared block by block, each pair only
+    in the first of the buckets that it shares."""
+    least = least_agreement(similarity)
+
+    def active(group: pa.Table) -> pa.Table:
+        rep, x, y, look = _sides(group, least)
+        some = np.unique(np.concatenate([x[look.any(1)], y[look.any(0)]])) if len(rep) else np.zeros(0, np.int64)
+        return group.select(["bucket", "rep"]).take(pa.array(some))
+
+    found = _dealt_blocks(rows).groupBy("bucket", "i", "j").applyInArrow(active, "bucket long, rep long").distinct()
+    found = written(found.join(rows, ["bucket", "rep"]), "neardup-active")
+    wanted = found.select(F.col("rep").alias("doc_id")).distinct()
+    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(wanted, "doc_id", "left_semi").join(slim.select("doc_id", "bands").where("bands is not null").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "doc_id"), "neardup-texts")
+    whole = found.join(texts.select(F.col("doc_id").alias("rep"), "text", "bands"), "rep").select("bucket", "rep", "sketch", "least", "text", "bands")
+
+    def compare(group: pa.Table) -> pa.Table:
+        rep, x, y, look = _sides(group, least)
+        bucket = group.column("bucket")[0].as_py() if group.num_rows else 0
+        bands = np.array(group.column("bands").to_pylist(), np.int64).reshape(len(rep), -1)
+        coded = group.column("text").combine_chunks()
+        doc, h, count = shingles(coded if isinstance(coded, pa.Array) else pa.concat_arrays(coded.chunks))
+        starts = np.searchsorted(doc, np.arange(len(rep) + 1))
+        sizes = np.array([count[starts[i] : starts[i + 1]].sum() for i in range(len(rep))])
+        out_a, out_b = [], []
+        for p, q in zip(*np.nonzero(look)):
+            i, j = x[p], y[q]
+            small, large = sorted((sizes[i], sizes[j]))
+            shared = np.flatnonzero(bands[i] == bands[j])
+            if small < similarity * large or not len(shared) or bands[i][shared[0]] != bucket:
+                continue
+            u, v = slice(starts[i], starts[i + 1]), slice(starts[j], starts[j + 1])
+            _, r, t = np.intersect1d(h[u], h[v], assume_unique=True, return_indices=True)
+            both = np.minimum(count[u][r], count[v][t]).sum()
+            if both >= similarity * (sizes[i] + sizes[j] - both):
+                out_a.append(min(rep[i], rep[j]))
+                out_b.append(max(rep[i], rep[j]))
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    return _dealt_blocks(whole).groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
+def near_classes(members: DataFrame, slim: DataFrame, docs: DataFrame, *, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+    """(rep, least) of members(rep, sketch, bucket), for those with near duplicates.
+
+    Each round, each bucket that still has several classes compares its members with one
+    of them, another one each round; verified links merge classes. What is left after
+    the rounds, pairs of one bucket and two classes, is compared pair by pair, in large
+    buckets block by block. Sketches say beforehand which pairs can be similar enough;
+    texts decide."""
+    least = least_agreement(similarity)
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    grouped = written(members.join(shared, "bucket", "left_semi"), "neardup-buckets")
+    classes, links, judged = None, None, None
+
+    def linked(more: DataFrame) -> None:
+        nonlocal classes, links
+        links = more if links is None else links.union(more)
+        classes = components(links)
+
+    for k in range(rounds + 1):
+        placed = grouped.withColumn("least", F.col("rep")) if classes is None else grouped.join(classes, "rep", "left").withColumn("least", F.coalesce("least", "rep"))
+        if k:
+            mixed = placed.groupBy("bucket").agg(F.min("least").alias("lo"), F.max("least").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("bucket", "n")
+            placed = written(placed.join(mixed, "bucket"), "neardup-mixed")
+        last = k == rounds
+        if last:
+            large = placed.where(F.col("n") > SMALL_BUCKET).drop("n")
+            if not large.isEmpty():
+                more = written(block_links(large, slim, docs, similarity), "neardup-links")
+                if not more.isEmpty():
+                    linked(more)
+            placed = placed.where(F.col("n") <= SMALL_BUCKET)
+            one = placed.select(F.col("bucket").alias("bucket_a"), F.col("rep").alias("a"), F.col("sketch").alias("sa"), F.col("least").alias("la"))
+        else:
+            order = F.col("rep") if k == 0 else F.xxhash64("rep", "bucket", F.lit(k))
+            one = placed.groupBy("bucket").agg(F.min_by(F.struct("rep", "sketch", "least"), F.struct(order, "rep")).alias("one")).select(F.col("bucket").alias("bucket_a"), F.col("one.rep").alias("a"), F.col("one.sketch").alias("sa"), F.col("one.least").alias("la"))
+        side = placed.select(F.col("bucket").alias("bucket_b"), F.col("rep").alias("b"), F.col("sketch").alias("sb"), F.col("least").alias("lb"))
+        apart = (F.col("la") != F.col("lb")) & (agreement("sa", "sb") >= least)
+        if last:
+            apart = apart & (F.col("a") < F.col("b"))
+        pairs = one.join(side, (F.col("bucket_a") == F.col("bucket_b")) & apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if judged is not None:
+            pairs = pairs.join(judged, ["a", "b"], "left_anti")
+        pairs = written(pairs, "neardup-pairs")
+        if not pairs.isEmpty():
+            found = written(similarities(pairs, docs), "neardup-judged")
+            judged = found.select("a", "b") if judged is None else judged.union(found.select("a", "b"))
+            linked(found.where(F.col("similarity") >= similarity).select("a", "b"))
+    return classes if classes is not None else docs.sparkSession.createDataFrame([], "rep long, least long")
 
 
 def classify(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
@@ -247,17 +381,18 @@ def classify(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
 
     Texts are equal if all characters are. Texts with the same words in the same order
     are near copies of similarity 1; texts without words are only copies of their
-    equals. A null text is its own class, the row's doc_id; repeated rows share a class;
-    a null doc_id gets the class of its text's others, or null."""
-    key = F.struct(F.xxhash64("text").alias("h"), F.sha2("text", 256).alias("s"))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.when(F.col("text").isNotNull(), key))
-    copies = written(keyed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "neardup-copies")
-    firsts = keyed.where("key is not null").join(copies.where("rep is not null").withColumnRenamed("rep", "doc_id"), ["key", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"])
-    reps = written(firsts, "neardup-reps")
-    classes = near_classes(reps, similarity=similarity)
+    equals. A null text is its own class, the row's doc_id; repeated rows share a class,
+    and rows that repeat a doc_id with other texts are taken as one document; a null
+    doc_id gets the class of its text's others, or null."""
+    slim = written(sketches(docs), "neardup-sketches")
+    copies = slim.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
+    copies = written(copies, "neardup-copies")
+    reps = slim.where("bands is not null").join(copies.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    members = reps.select(F.col("doc_id").alias("rep"), "sketch", F.explode("bands").alias("bucket"))
+    classes = near_classes(members, slim, docs, similarity=similarity)
     final = copies.join(classes, "rep", "left").select("key", F.coalesce("least", "rep").alias("class_id"))
-    whole = keyed.select("doc_id", "key").where("key is not null").join(final, "key").select("doc_id", "class_id")
-    return whole.unionByName(keyed.where("key is null").select("doc_id", F.col("doc_id").alias("class_id")))
+    whole = slim.where("key is not null").select("doc_id", "key").join(final, "key").select("doc_id", "class_id")
+    return whole.unionByName(slim.where("key is null").select("doc_id", F.col("doc_id").alias("class_id")))
 
 
 def keep_one(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
