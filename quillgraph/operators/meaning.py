@@ -257,37 +257,40 @@ def latent_vectors(weights: DataFrame, dims: int = 64, *, rounds: int = 5, seed:
     return docs.mapInPandas(project, "doc_id long, v array<double>")
 
 
-def spanning_tree(edges: DataFrame) -> DataFrame:
-    """(a, b, similarity): a maximum spanning forest of edges(a, b, similarity), by
-    Boruvka rounds: each component takes its best edge out, then components merge.
-
-    Ties are broken by (a, b), so no cycle can form; rounds are logarithmic."""
-    from pyspark.sql import functions as F
-
-    both = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").groupBy("a", "b").agg(F.max("similarity").alias("similarity")).persist()
-    label = both.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("c", F.col("id"))
-    tree = None
-    for _ in range(40):
-        out = both.join(label.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(label.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b").where("ca <> cb")
-        key = F.struct("similarity", (-F.col("a")).alias("na"), (-F.col("b")).alias("nb"))
-        best = out.select(F.explode(F.array("ca", "cb")).alias("c"), key.alias("k"), "ca", "cb").groupBy("c").agg(F.max(F.struct("k", "ca", "cb")).alias("e")).select("c", "e.*").persist()
-        if best.isEmpty():
-            break
-        chosen = best.select((-F.col("k.na")).alias("a"), (-F.col("k.nb")).alias("b"), F.col("k.similarity").alias("similarity")).distinct()
-        tree = chosen if tree is None else tree.union(chosen)
-        links = best.select(F.col("ca").alias("u"), F.col("cb").alias("v"))
-        merged = _merge_labels(links)
-        label = label.join(merged, "c", "left").select("id", F.coalesce("root", "c").alias("c")).persist()
-    return tree if tree is not None else both.limit(0)
-
-
-def _merge_labels(links: DataFrame) -> DataFrame:
-    """(c, root) by repeated least neighbour until nothing changes."""
-    both = links.union(links.select("v", "u")).distinct().persist()
-    label = both.select(F.col("u").alias("c")).distinct().withColumn("root", F.col("c"))
-    while True:
-        near = both.join(label.select(F.col("c").alias("v"), "root"), "v").groupBy(F.col("u").alias("c")).agg(F.min("root").alias("m"))
-        new = label.join(near, "c").select("c", F.least("root", "m").alias("root"), (F.col("m") < F.col("root")).alias("changed")).persist()
-        if new.where("changed").isEmpty():
-            return new.select("c", "root")
-        label = new.select("c", "root")
+def spanning_tree(edges: DataFrame, *, parts: int = 16) -> DataFrame:
+    """(a, b, similarity): a maximum spanning forest of edges(a, b, similarity), ties by
+    (a, b).
+
+    A forest of a part's edges keeps all that the whole forest needs, so parts are
+    thinned to forests, merged by fours, and thinned again. A task holds one forest
+    (fewer edges than there are works) and one batch."""
+    import pandas as pd
+
+    def thin(batches):
+        kept = pd.DataFrame({"a": [], "b": [], "similarity": []})
+        for pdf in batches:
+            rows = pd.concat([kept, pdf]) if len(kept) else pdf
+            rows = rows.sort_values(["similarity", "a", "b"], ascending=[False, True, True]).reset_index(drop=True)
+            root: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while (up := root.setdefault(x, x)) != x:
+                    root[x] = root.setdefault(up, up)
+                    x = root[x]
+                return x
+
+            keep = []
+            for i, (a, b) in enumerate(zip(rows["a"], rows["b"])):
+                u, v = find(a), find(b)
+                if u != v:
+                    root[u] = v
+                    keep.append(i)
+            kept = rows.iloc[keep]
+        if len(kept):
+            yield kept
+
+    forest = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    while parts >= 1:
+        forest = forest.repartition(parts).mapInPandas(thin, "a long, b long, similarity double")
+        parts //= 4
+    return forest

@@ -149,12 +149,12 @@ def ambiguous_entries(s, d):
     "same_work_match",
     f"""WITH c AS (SELECT o_orderkey AS entry_id, p_partkey AS work_id, p_name AS title, p_size::BIGINT AS n, p_partkey AS ord, {words('p_name')} AS tw FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderkey % 10 = 0),
 u AS (SELECT DISTINCT * FROM c WHERE len(tw) > 0), h AS (SELECT *, first_value(tw) OVER (PARTITION BY entry_id ORDER BY ord) AS head FROM u)
-SELECT entry_id, CASE WHEN bool_and(least({overlap('tw', 'head')}, {overlap('head', 'tw')}) >= 0.8::DOUBLE) THEN arg_max(work_id, n * 1000000000 - ord) END AS work_id FROM h GROUP BY entry_id""",
+SELECT entry_id, coalesce(CASE WHEN bool_and(least({overlap('tw', 'head')}, {overlap('head', 'tw')}) >= 0.8::DOUBLE) THEN arg_max(work_id, n * 1000000000 - ord) END, -1)::BIGINT AS work_id FROM h GROUP BY entry_id""",
 )
 def same_work_match(s, d):
     rows = T.read(s, d, "orders").where("o_orderkey % 10 = 0").join(T.read(s, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(T.read(s, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
     cand = rows.select(F.col("o_orderkey").alias("entry_id"), F.col("p_partkey").alias("work_id"), F.col("p_name").alias("title"), F.col("p_name").alias("text"), F.col("p_size").cast("long").alias("n"), F.col("p_partkey").alias("ord")).distinct()
-    return resolve.same_work(cand)
+    return resolve.same_work(cand).select("entry_id", F.coalesce("work_id", F.lit(-1)).alias("work_id"))
 
 
 @query("book_of_part", "SELECT '10.1016/b978' || lpad((p_partkey // 2)::VARCHAR, 10, '0') || '.' || p_partkey AS doi, min(s_suppkey)::VARCHAR AS path FROM part JOIN supplier ON s_suppkey // 3 = p_partkey // 2 GROUP BY p_partkey HAVING count(DISTINCT s_suppkey) = 1")
