@@ -27,7 +27,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import small_batches, table, written
@@ -39,7 +39,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 6
 M = BANDS * ROWS
 #: Rounds in which each bucket compares with one member, before pairs are.
-ROUNDS = 3
+ROUNDS = 1
 #: Larger buckets are compared in blocks of so many rows instead of by a join.
 SMALL_BUCKET = 64
 BLOCK = 1024
@@ -226,19 +226,20 @@ def similarities(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(rep, least): the least member of each linked row's component.
 
-    Alternates large-star and small-star steps on tables in the shared folder until
-    nothing changes; each step only regroups edges, and no step's groups are collected."""
+    Each step points every row to its least smaller neighbour, links its other smaller
+    neighbours to that one, and then moves each link's smaller end to where that points.
+    A row has few smaller neighbours (one a bucket and round at most, and those of its
+    blocks), so its window is small; the many rows below one least member are met by a
+    join only. Steps are tables; they end when nothing changes any more."""
     edges = written(links.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u < v").distinct(), "neardup-edges")
     state = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = state(edges)
     while True:
-        both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.col("m").alias("x"), F.col("v").alias("y")).where("x <> y").union(least.select(F.col("m").alias("x"), F.col("u").alias("y"))).select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
-        edges = written(small, "neardup-edges")
+        parent = edges.groupBy("v").agg(F.min("u").alias("p"))
+        least = F.min("u").over(Window.partitionBy("v"))
+        hooked = edges.withColumn("p", least).select(F.explode(F.when(F.col("u") == F.col("p"), F.array(F.struct("u", "v"))).otherwise(F.array(F.struct(F.col("p").alias("u"), F.col("u").alias("v"))))).alias("e")).select("e.*")
+        moved = hooked.join(parent.withColumnRenamed("v", "w"), F.col("u") == F.col("w"), "left").select(F.coalesce("p", "u").alias("u"), "v").distinct()
+        edges = written(moved, "neardup-edges")
         now = state(edges)
         if now == before:
             return edges.select(F.col("v").alias("rep"), F.col("u").alias("least"))
@@ -338,11 +339,6 @@ def near_classes(members: DataFrame, slim: DataFrame, docs: DataFrame, *, simila
     grouped = written(members.join(shared, "bucket", "left_semi"), "neardup-buckets")
     classes, links, judged = None, None, None
 
-    def linked(more: DataFrame) -> None:
-        nonlocal classes, links
-        links = more if links is None else links.union(more)
-        classes = components(links)
-
     for k in range(rounds + 1):
         placed = grouped.withColumn("least", F.col("rep")) if classes is None else grouped.join(classes, "rep", "left").withColumn("least", F.coalesce("least", "rep"))
         if k:
@@ -352,9 +348,8 @@ def near_classes(members: DataFrame, slim: DataFrame, docs: DataFrame, *, simila
         if last:
             large = placed.where(F.col("n") > SMALL_BUCKET).drop("n")
             if not large.isEmpty():
-                more = written(block_links(large, slim, docs, similarity), "neardup-links")
-                if not more.isEmpty():
-                    linked(more)
+                blocked = written(block_links(large, slim, docs, similarity), "neardup-links")
+                links = blocked if links is None else links.union(blocked)
             placed = placed.where(F.col("n") <= SMALL_BUCKET)
             one = placed.select(F.col("bucket").alias("bucket_a"), F.col("rep").alias("a"), F.col("sketch").alias("sa"), F.col("least").alias("la"))
         else:
@@ -371,7 +366,10 @@ def near_classes(members: DataFrame, slim: DataFrame, docs: DataFrame, *, simila
         if not pairs.isEmpty():
             found = written(similarities(pairs, docs), "neardup-judged")
             judged = found.select("a", "b") if judged is None else judged.union(found.select("a", "b"))
-            linked(found.where(F.col("similarity") >= similarity).select("a", "b"))
+            more = found.where(F.col("similarity") >= similarity).select("a", "b")
+            links = more if links is None else links.union(more)
+        if links is not None:
+            classes = components(links)
     return classes if classes is not None else docs.sparkSession.createDataFrame([], "rep long, least long")
 
 
