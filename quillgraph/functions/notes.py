@@ -13,6 +13,7 @@ from urllib.parse import unquote
 
 from quillgraph.functions.text import SECTION_TITLE
 
+#: The scheme of citation links and its parameters.
 CITE_PREFIX = "obsidian://cite?"
 PARAMETERS = ("note", "q", "qe", "occ", "doi")
 #: How far a heading is looked past, how many entries must follow it, the
