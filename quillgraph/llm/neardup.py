@@ -327,7 +327,7 @@ def block_links(rows: DataFrame, slim: DataFrame, docs: DataFrame, similarity: f
 
 
 def near_classes(members: DataFrame, slim: DataFrame, docs: DataFrame, *, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
-    """(rep, least) of members(rep, sketch, bucket), for those with near duplicates.
+    """(rep, least) of members(rep, bucket), for those with near duplicates.
 
     Each round, each bucket that still has several classes compares its members with one
     of them, another one each round; verified links merge classes. What is left after
@@ -336,7 +336,9 @@ def near_classes(members: DataFrame, slim: DataFrame, docs: DataFrame, *, simila
     texts decide."""
     least = least_agreement(similarity)
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    grouped = written(members.join(shared, "bucket", "left_semi"), "neardup-buckets")
+    # sketches come to the rows of shared buckets only: most buckets have one member
+    sketch = slim.select(F.col("doc_id").alias("rep"), "sketch").where("sketch is not null").dropDuplicates(["rep"])
+    grouped = written(members.join(shared, "bucket", "left_semi").join(sketch, "rep"), "neardup-buckets")
     classes, links, judged = None, None, None
 
     for k in range(rounds + 1):
@@ -386,7 +388,7 @@ def classify(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
     copies = slim.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
     copies = written(copies, "neardup-copies")
     reps = slim.where("bands is not null").join(copies.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    members = reps.select(F.col("doc_id").alias("rep"), "sketch", F.explode("bands").alias("bucket"))
+    members = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("bucket"))
     classes = near_classes(members, slim, docs, similarity=similarity)
     final = copies.join(classes, "rep", "left").select("key", F.coalesce("least", "rep").alias("class_id"))
     whole = slim.where("key is not null").select("doc_id", "key").join(final, "key").select("doc_id", "class_id")
