@@ -234,7 +234,7 @@ def citation_urls(s, d):
 
 @query("code_fence_state", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents WHERE length(text) < 3000) SELECT doc_id, n::INTEGER AS n, (sum((length(line) % 7 = 0)::INT) OVER (PARTITION BY doc_id ORDER BY n)) % 2 = 1 AS inside FROM l")
 def code_fence_state(s, d):
-    lines = T.read(s, d, "documents").where("length(text) < 3000").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    lines = T.read(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     return lines.select("doc_id", "n", X.fence_parity(F.length("line") % 7 == 0, Window.partitionBy("doc_id").orderBy("n")).alias("inside"))
 
 
