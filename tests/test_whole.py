@@ -27,3 +27,28 @@ def test_code_fence_of_long_texts(spark, tmp_path):
             inside ^= len(line) % 7 == 0
             want.add((doc_id, n, inside))
     assert len(texts[2]) > 3000 and set(ask(spark, "code_fence_state", tmp_path)) == want
+
+
+def without(sql, *cuts):
+    for cut in cuts:
+        sql = sql.replace(cut, "")
+    return sql
+
+
+def by_sql(sql):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in "part supplier orders lineitem".split():
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return c.sql(sql).fetchall()
+
+
+tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+
+
+@tables
+def test_same_work_of_all_orders(spark):
+    want = by_sql(without(catalog.ORACLES["same_work_match"], " WHERE o_orderkey % 10 = 0"))
+    got = ask(spark, "same_work_match", SF)
+    assert sorted(got) == sorted(want) and any(entry % 10 for entry, _ in got)
