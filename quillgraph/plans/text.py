@@ -86,7 +86,7 @@ def reference_heading(s, d):
 def title_overlap(s, d):
     p = T.read(s, d, "part").select("p_partkey", "p_size", X.title_words(F.col("p_name")).alias("w"))
     a, b = p.alias("a"), p.alias("b")
-    both = a.join(b, (F.col("a.p_size") == F.col("b.p_size")) & (F.col("a.p_partkey") < F.col("b.p_partkey")) & (F.col("a.p_partkey") % 10 == F.col("b.p_partkey") % 10))
+    both = a.join(b, (F.col("a.p_size") == F.col("b.p_size")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
     return both.select(F.col("a.p_partkey").alias("id_a"), F.col("b.p_partkey").alias("id_b"), rounded(X.title_overlap(F.col("a.w"), F.col("b.w"))).alias("overlap"))
 
 

@@ -52,3 +52,10 @@ def test_same_work_of_all_orders(spark):
     want = by_sql(without(catalog.ORACLES["same_work_match"], " WHERE o_orderkey % 10 = 0"))
     got = ask(spark, "same_work_match", SF)
     assert sorted(got) == sorted(want) and any(entry % 10 for entry, _ in got)
+
+
+@tables
+def test_title_overlap_of_all_pairs(spark):
+    want = by_sql(without(catalog.ORACLES["title_overlap"], " AND a.p_partkey % 10 = b.p_partkey % 10"))
+    got = ask(spark, "title_overlap", SF)
+    assert sorted(got) == sorted(want) and any((a - b) % 10 for a, b, _ in got)
