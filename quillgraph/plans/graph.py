@@ -84,7 +84,7 @@ _CITING = "SELECT DISTINCT 'C' || o_custkey AS source, 'S' || l_suppkey AS targe
 
 
 def citing_edges(s, d):
-    orders, lines = T.read(s, d, "orders"), T.read(s, d, "lineitem").where("l_quantity >= 45")
+    orders, lines = T.read(s, d, "orders"), T.read(s, d, "lineitem")
     return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.concat(F.lit("C"), F.col("o_custkey")).alias("source"), F.concat(F.lit("S"), F.col("l_suppkey")).alias("target")).distinct()
 
 

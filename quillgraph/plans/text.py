@@ -334,7 +334,7 @@ def incremental_latest(s, d):
 def citing_top_n(s, d):
     from quillgraph.sources.snapshot import citing_works
 
-    refs = T.read(s, d, "lineitem").where("l_quantity >= 40").groupBy("l_partkey").agg(F.collect_set("l_suppkey").alias("references"))
+    refs = T.read(s, d, "lineitem").groupBy("l_partkey").agg(F.collect_set("l_suppkey").alias("references"))
     works = refs.join(T.read(s, d, "part"), F.col("p_partkey") == F.col("l_partkey")).select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("cited_by_count"), "references")
     return citing_works(works, T.read(s, d, "supplier").select(F.col("s_suppkey").alias("id")), 5).select("id", "citing", "cited_by_count", "total", "rank")
 

@@ -59,3 +59,10 @@ def test_title_overlap_of_all_pairs(spark):
     want = by_sql(without(catalog.ORACLES["title_overlap"], " AND a.p_partkey % 10 = b.p_partkey % 10"))
     got = ask(spark, "title_overlap", SF)
     assert sorted(got) == sorted(want) and any((a - b) % 10 for a, b, _ in got)
+
+
+@tables
+@pytest.mark.parametrize("name", ["cited_by_stage", "citing_works_rank", "citing_top_n"])
+def test_citations_of_all_line_items(spark, name):
+    sql = without(catalog.ORACLES[name], " WHERE l_quantity >= 45", " WHERE l_quantity >= 40")
+    assert "l_quantity" not in sql and sorted(ask(spark, name, SF)) == sorted(by_sql(sql))
