@@ -73,7 +73,7 @@ def work_key(s, d):
 
 @query("name_key", "SELECT doc_id, regexp_replace(lower(strip_accents(substr(text, 1, 60))), '[^a-z]', '', 'g') AS key FROM documents WHERE lang = 'en'")
 def name_key(s, d):
-    return T.read(s, d, "documents").where("lang = 'en'").select("doc_id", F.regexp_replace(X.name_key(F.substring("text", 1, 60)), "[^a-z]", "").alias("key"))
+    return T.read(s, d, "documents").select("doc_id", X.name_key(F.col("text")).alias("key"))
 
 
 @query("reference_heading", "SELECT r_regionkey, (r_regionkey % 2 = 0) AS is_reference FROM region")

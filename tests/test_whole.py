@@ -66,3 +66,9 @@ def test_title_overlap_of_all_pairs(spark):
 def test_citations_of_all_line_items(spark, name):
     sql = without(catalog.ORACLES[name], " WHERE l_quantity >= 45", " WHERE l_quantity >= 40")
     assert "l_quantity" not in sql and sorted(ask(spark, name, SF)) == sorted(by_sql(sql))
+
+
+def test_name_key_of_whole_texts(spark, tmp_path):
+    rows = [(1, "Muller " * 20 + "End", "en"), (2, "Élise Straße-Gößl, 3.", "de"), (3, "", "fr")]
+    put(spark, tmp_path, "documents", rows, "doc_id long, text string, lang string")
+    assert sorted(ask(spark, "name_key", tmp_path)) == [(1, "muller" * 20 + "end"), (2, "elisestraßegoßl"), (3, "")]
