@@ -203,7 +203,7 @@ def lsa_groups(s, d):
     from quillgraph.plans.text import english_counts, english_size
 
     counts = english_counts(s, d)
-    return M.latent_vectors(M.tfidf(counts, M.vocabulary(counts, english_size(s, d), max_terms=5000)), 16)
+    return M.latent_vectors(M.tfidf(counts, M.vocabulary(counts, english_size(s, d))))
 
 
 @query("meaning_groups")

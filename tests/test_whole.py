@@ -72,3 +72,12 @@ def test_name_key_of_whole_texts(spark, tmp_path):
     rows = [(1, "Muller " * 20 + "End", "en"), (2, "Élise Straße-Gößl, 3.", "de"), (3, "", "fr")]
     put(spark, tmp_path, "documents", rows, "doc_id long, text string, lang string")
     assert sorted(ask(spark, "name_key", tmp_path)) == [(1, "muller" * 20 + "end"), (2, "elisestraßegoßl"), (3, "")]
+
+
+def test_lsa_of_rare_terms(spark, tmp_path):
+    # 200 pairs of documents share 26 terms each, 5,200 in all; those of the last pair come last.
+    name = lambda n: "".join(chr(97 + n // 26**i % 26) for i in (3, 2, 1, 0)) + "x"
+    rows = [(i, " ".join(name(i // 2 * 26 + j) for j in range(26)), "en") for i in range(400)]
+    put(spark, tmp_path, "documents", rows, "doc_id long, text string, lang string")
+    got = dict(ask(spark, "lsa_groups", tmp_path))
+    assert set(got) == set(range(400)) and all(v is None or len(v) == 64 for v in got.values())
