@@ -6,11 +6,12 @@ over one note at a time; operators/notes.py runs them over Arrow batches.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from dataclasses import dataclass, field
 from urllib.parse import unquote
 
+import regex as re
+
 from quillgraph.functions.text import SECTION_TITLE
 
 #: The scheme of citation links and its parameters.
@@ -21,22 +22,21 @@ PARAMETERS = ("note", "q", "qe", "occ", "doi")
 LOOKAHEAD, ENTRIES_AFTER, LEAST_RUN, JOIN_GAP, JOIN_LENGTH = 4, 2, 5, 2, 1500
 LEAST_ENTRY, YEAR_HEAD = 20, 200
 
-#: Capitals, and letters, as Python's re can say them.
-_CAPITAL = "A-ZÀ-ÖØ-ÞĀĂĄĆĈĊČĎĐĒĔĖĘĚĜĞĠĢĤĦĨĪĬĮİĴĶĹĻĽĿŁŃŅŇŌŎŐŒŔŖŘŚŜŞŠŢŤŦŨŪŬŮŰŲŴŶŸŹŻŽ"
-_LETTER = r"[^\W\d_]"
+#: The patterns that say what a reference line, a year, a DOI, initials and
+#: list markers are; results depend on them to the letter.
 _HEADING = re.compile(r"(#{1,6})\s+(.*)$")
 _TITLE = re.compile(SECTION_TITLE.replace("(?iu)", ""), re.I)
 _BOLD = re.compile(r"\*\*([^*]+)\*\*\s*:?\s*$")
 _FENCE = re.compile(r"\s*(```|~~~)")
-_MARKER = re.compile(rf"(?:[-*+]\s+|[0-9]{{1,4}}[.)]\s+|\[[0-9]{{1,4}}\]\s*|\*\*[0-9]{{1,4}}\*\*\s+|[0-9]{{1,3}}\s+(?=[{_CAPITAL}]))")
+_MARKER = re.compile(r"(?:[-*+]\s+|[0-9]{1,4}[.)]\s+|\[[0-9]{1,4}\]\s*|\*\*[0-9]{1,4}\*\*\s+|[0-9]{1,3}\s+(?=\p{Lu}))")
 _ANCHOR = re.compile(r"(?:<(?:span|a)\b[^<>]*>\s*</(?:span|a)>\s*)+", re.I)
 _EDITOR = re.compile(r"\((?:eds?|dir|hrsg)\.?\)", re.I)
 _DOI = re.compile(r"\b10\.[0-9]{4,9}/(?:[^\s\"'<>\[\],;()]+|\([^\s()<>]*\))+", re.I)
 _YEAR_PAREN = re.compile(r"\((1[5-9][0-9]{2}|20[0-9]{2})[a-z]?[),]")
 _YEAR = re.compile(r"\b(1[5-9][0-9]{2}|20[0-9]{2})[a-z]?\b")
-_INITIALS = re.compile(rf"(?:[{_CAPITAL}]{{1,3}}\.?|(?:[{_CAPITAL}]\.[\s-]*)+[{_CAPITAL}]?\.?)")
-_NAME = re.compile(rf"{_LETTER}[^\W_'’]*(?:[^\W\d_]|['’. -]){{0,40}}")
-_START = re.compile(rf"(?:\*\*)?[{_CAPITAL}](?:{_LETTER}|['’-])+(?:\s[{_CAPITAL}](?:{_LETTER}|['’-])+)?(?:,\s*[{_CAPITAL}]|\s[{_CAPITAL}]{{1,3}}[,.\s])")
+_INITIALS = re.compile(r"(?:\p{Lu}{1,3}\.?|(?:\p{Lu}\.[\s-]*)+\p{Lu}?\.?)")
+_NAME = re.compile(r"\p{L}[\p{L}\p{N}]*[\p{L}'’. -]{0,40}")
+_START = re.compile(r"(?:\*\*)?\p{Lu}[\p{L}'’-]+(?:\s\p{Lu}[\p{L}'’-]+)?(?:,\s*\p{Lu}|\s\p{Lu}{1,3}[,.\s])")
 _BEFORE = re.compile(r",|\s\(|\s(?:1[5-9]|20)[0-9]{2}\b")
 _SPLIT = re.compile(r"\s*(?:,|;|&|\band\b|\bet\b)\s*")
 _ET_AL = re.compile(r"\bet al\b", re.I)
@@ -63,8 +63,9 @@ class Entry:
 
 
 def name_key(name: str) -> str:
-    plain = unicodedata.normalize("NFKD", name).lower()
-    return "".join(c for c in plain if c.isalpha() and not unicodedata.combining(c))
+    """Letters only, lower case, no accents, as functions.text.name_key has it."""
+    whole = "".join(c if "\uac00" <= c <= "\ud7a3" else unicodedata.normalize("NFKD", c) for c in name)
+    return "".join(c for c in "".join(c for c in whole if unicodedata.category(c)[0] != "M").lower() if c.isalpha())
 
 
 def markdown_links(line: str) -> list[Link]:
@@ -213,7 +214,7 @@ def parse_entry(raw: str, line: int = 0) -> Entry | None:
     if entry.first_author:
         people = re.split(r"\bet al\b", before, maxsplit=1, flags=re.I)[0]
         names = (family_of(p) for p in _SPLIT.split(people))
-        entry.authors = [k for p in names if re.search(rf"{_LETTER}{{2}}", p) and (k := name_key(p))]
+        entry.authors = [k for p in names if re.search(r"\p{L}{2}", p) and (k := name_key(p))]
     return entry
 
 

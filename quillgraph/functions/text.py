@@ -1,21 +1,35 @@
 """Text expressions: identifiers, names, titles, tokens, languages, citations.
 
 Everything here is a Column expression, so it stays in the JVM. Spark has no Unicode
-normalisation; accents go by a translation table of the Latin letters (built from
-Unicode's decompositions), and combining marks by a pattern.
+normalisation; letters with marks and compatibility forms go by tables that are built
+from Unicode's decompositions, and combining marks by a pattern.
 """
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Latin letters that decompose to a base letter and marks, and those base letters.
-_MARKED = [c for c in map(chr, range(0xC0, 0x250)) if len(d := unicodedata.normalize("NFD", c)) > 1 and all(unicodedata.combining(x) for x in d[1:])]
-_MARKED += [c for c in map(chr, range(0x1E00, 0x1F00)) if len(d := unicodedata.normalize("NFD", c)) > 1 and all(unicodedata.combining(x) for x in d[1:])]
-_PLAIN = [unicodedata.normalize("NFD", c)[0] for c in _MARKED]
+
+def _decomposed(form: str) -> tuple[dict[str, str], dict[str, str]]:
+    """Characters whose decomposition without marks is another one, and those where it
+    is none or several. Hangul syllables stay whole."""
+    one, many = {}, {}
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        if not unicodedata.decomposition(c) or "\uac00" <= c <= "\ud7a3" or unicodedata.category(c)[0] == "M":
+            continue
+        plain = "".join(x for x in unicodedata.normalize(form, c) if unicodedata.category(x)[0] != "M")
+        if plain != c:
+            (one if len(plain) == 1 else many)[c] = plain
+    return one, many
+
+
+_MARKED, _ = _decomposed("NFD")
+_SINGLE, _SEVERAL = _decomposed("NFKD")
+_SEVERAL_CLASS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in _SEVERAL) + "]"
 
 #: Words of English and French that say nothing about a subject.
 STOP_WORDS = (
@@ -38,13 +52,23 @@ FUNCTION_WORDS = {
 
 
 def strip_accents(text: Column) -> Column:
-    """Latin letters without their marks."""
-    return F.regexp_replace(F.translate(text, "".join(_MARKED), "".join(_PLAIN)), "[\\u0300-\\u036f]", "")
+    """Letters without their marks, in any script."""
+    return F.regexp_replace(F.translate(text, "".join(_MARKED), "".join(_MARKED.values())), r"\p{M}", "")
+
+
+def plain_letters(text: Column) -> Column:
+    """Letters without marks, compatibility forms (ligatures, wide and styled letters)
+    as the plain ones. The few texts with a form that stands for several letters are
+    rewritten character by character."""
+    table = F.create_map(*(F.lit(x) for pair in _SEVERAL.items() for x in pair))
+    spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    whole = F.when(text.rlike(_SEVERAL_CLASS), spelled).otherwise(text)
+    return F.regexp_replace(F.translate(whole, "".join(_SINGLE), "".join(_SINGLE.values())), r"\p{M}", "")
 
 
 def fold(text: Column) -> Column:
     """Lower case without accents, to compare typed text."""
-    return F.lower(strip_accents(text))
+    return F.lower(plain_letters(text))
 
 
 def name_key(name: Column) -> Column:
@@ -53,13 +77,16 @@ def name_key(name: Column) -> Column:
 
 
 def normalize_doi(doi: Column) -> Column:
-    """Trimmed, lower case, without resolver or scheme."""
-    return F.lower(F.regexp_replace(F.trim(doi), r"(?i)^(https?://(dx\.)?doi\.org/|doi:\s*)", ""))
+    """Trimmed, lower case, without resolver (its scheme is optional), then without a
+    scheme of its own."""
+    bare = F.regexp_replace(F.trim(doi), r"(?i)^(https?://)?(dx\.)?doi\.org/", "")
+    return F.lower(F.regexp_replace(bare, r"(?i)^doi:\s*", ""))
 
 
 def isbns_in(text: Column) -> Column:
-    """Distinct 13-digit ISBNs, as digits, in order."""
-    found = F.regexp_extract_all(text, F.lit(r"97[89](?:[-\s]?[0-9]){10}"), F.lit(0))
+    """Distinct 13-digit ISBNs, as digits, in order; hyphens, dots or blanks may stand
+    between digits."""
+    found = F.regexp_extract_all(text, F.lit(r"97[89](?:[-.\s]?[0-9]){10}"), F.lit(0))
     return F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, "[^0-9]", "")))
 
 
@@ -84,7 +111,7 @@ def work_key(first_author_key: Column, year: Column, title: Column) -> Column:
 
 def tokenize(text: Column) -> Column:
     """Words of three letters and more without stop words, a plural s dropped."""
-    words = F.regexp_extract_all(fold(text), F.lit("[a-z]{3,}"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(strip_accents(text)), F.lit("[a-z]{3,}"), F.lit(0))
     kept = F.filter(words, lambda w: ~w.isin(*STOP_WORDS))
     plural = lambda w: (F.length(w) > 3) & w.endswith("s") & ~w.endswith("ss")
     return F.transform(kept, lambda w: F.when(plural(w), F.substring(w, 1, F.length(w) - 1)).otherwise(w))
@@ -92,7 +119,7 @@ def tokenize(text: Column) -> Column:
 
 def title_terms(title: Column) -> Column:
     """Words and adjacent pairs of a title, never across punctuation or stop words."""
-    parts = F.split(fold(title), r"[,.:;!?()\[\]\"«»]|\s[-–—]\s")
+    parts = F.split(F.lower(strip_accents(title)), r"[,.:;!?()\[\]\"«»]|\s[-–—]\s")
     keep = lambda w: ~w.isin(*STOP_WORDS, *TITLE_STOP_WORDS)
 
     def of(part: Column) -> Column:

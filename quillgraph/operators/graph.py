@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.operators.order import numbered
+
 
 def merge_edges(citations: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """One edge per (source, target) with the sorted set of its kinds. Self loops go;
@@ -130,14 +132,23 @@ def co_cited(edges: DataFrame, *, minimum: int = 2) -> DataFrame:
     """(id, co_cited, core_size) of each target: how many works of the core share a
     citer with it, itself excluded; and the core's size without it.
 
-    Core works are gathered per citer by one aggregation, so a citer's pairs are never
-    rows: a target unions its citers' core sets, which have at most the core's size."""
-    core = common_citers(edges, minimum=minimum).select("id")
-    by_citer = edges.join(core.withColumnRenamed("id", "target"), "target", "left_semi").groupBy("source").agg(F.collect_set("target").alias("own_core"))
+    That is the size of a union of its citers' core works. The largest of these sets
+    counts whole, by its size; only what the other citers add to it becomes rows, so a
+    citer of very many works is never paired with itself, and a target with one citer
+    needs no rows at all."""
+    distinct = edges.select("source", "target").distinct()
+    core = common_citers(distinct, minimum=minimum).select("id")
+    own = distinct.join(core.withColumnRenamed("id", "target"), "target", "left_semi")
+    sizes = own.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    sized = distinct.join(sizes, "source", "left").select("source", "target", F.coalesce("n", F.lit(0)).alias("n"))
+    largest = sized.groupBy("target").agg(F.max(F.struct("n", "source")).alias("top"), F.count(F.lit(1)).alias("citers")).select("target", F.col("top.source").alias("top"), F.col("top.n").alias("n"), "citers")
+    others = distinct.join(largest.where("citers > 1").select("target", "top"), "target").where("source <> top")
+    listed = own.select("source", F.col("target").alias("work"))
+    more = others.join(listed, "source").select("target", "top", "work").distinct().join(listed.withColumnRenamed("source", "top"), ["top", "work"], "left_anti")
+    added = more.groupBy("target").agg(F.count(F.lit(1)).alias("more"))
     size = core.agg(F.count(F.lit(1)).alias("core_size"))
-    gathered = edges.join(by_citer, "source", "left").groupBy(F.col("target").alias("id")).agg(F.array_distinct(F.flatten(F.collect_list("own_core"))).alias("all_core"))
-    mine = F.array_contains("all_core", F.col("id")).cast("int")
-    return gathered.crossJoin(F.broadcast(size)).select("id", (F.size("all_core") - mine).cast("long").alias("co_cited"), (F.col("core_size") - mine).alias("core_size"))
+    mine = F.when(F.col("citers") >= minimum, 1).otherwise(0)
+    return largest.join(added, "target", "left").crossJoin(F.broadcast(size)).select(F.col("target").alias("id"), (F.col("n") + F.coalesce("more", F.lit(0)) - mine).alias("co_cited"), (F.col("core_size") - mine).alias("core_size"))
 
 
 def timeline(works: DataFrame) -> DataFrame:
@@ -160,12 +171,13 @@ def appearance_order(works: DataFrame) -> DataFrame:
     """(id, position): the collection first, most cited first; then outside works by
     year (unknown last), most cited first. Ties by id; positions start at 0."""
     order = [F.col("depth"), F.when(F.col("depth") == 0, -F.col("cited_by")), F.when(F.col("depth") != 0, F.col("year")).asc_nulls_last(), F.desc("cited_by"), F.col("id")]
-    return works.select("id", (F.row_number().over(Window.orderBy(*order)) - 1).alias("position"))
+    return numbered(works, *order).select("id", F.col("position").cast("int").alias("position"))
 
 
 def circle_places(works: DataFrame) -> DataFrame:
     """(id, x, y) of the collection's works on the unit circle, by year (unknown last),
     clockwise from the top."""
-    k = F.row_number().over(Window.orderBy(F.col("year").asc_nulls_last(), "id")) - 1
-    angle = -F.pi() / 2 + 2 * F.pi() * F.col("k") / F.greatest(F.lit(1), F.count(F.lit(1)).over(Window.partitionBy()))
-    return works.withColumn("k", k).withColumn("angle", angle).select("id", F.cos("angle").alias("x"), F.sin("angle").alias("y"))
+    placed = numbered(works.select("id", "year"), F.col("year").asc_nulls_last(), F.col("id"))
+    n = works.agg(F.greatest(F.lit(1), F.count(F.lit(1))).alias("n"))
+    angle = -F.pi() / 2 + 2 * F.pi() * F.col("position") / F.col("n")
+    return placed.crossJoin(F.broadcast(n)).withColumn("angle", angle).select("id", F.cos("angle").alias("x"), F.sin("angle").alias("y"))

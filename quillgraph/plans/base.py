@@ -36,7 +36,7 @@ def rounded(column, places: int = 6):
 CITE = """cite AS (
   SELECT 'S' || l_suppkey AS source, 'P' || l_partkey AS target,
     CASE l_returnflag WHEN 'A' THEN 'link' WHEN 'N' THEN 'bibliography' ELSE 'openalex' END AS kind
-  FROM lineitem WHERE l_quantity >= 49
+  FROM lineitem
 ), edges AS (SELECT DISTINCT source, target FROM cite)"""
 INFO = """info AS (
   SELECT 'P' || l_partkey AS id, max(year(l_shipdate))::BIGINT AS year, sum(l_quantity)::BIGINT AS cited_by_count FROM lineitem GROUP BY l_partkey

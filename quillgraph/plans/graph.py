@@ -80,7 +80,7 @@ def hide_isolated(s, d):
     return graph.without_isolated(T.nodes(s, d).select("id", "depth"), edges(s, d), "P1")
 
 
-_CITING = "SELECT DISTINCT 'C' || o_custkey AS source, 'S' || l_suppkey AS target FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity >= 45"
+_CITING = "SELECT DISTINCT 'C' || o_custkey AS source, 'S' || l_suppkey AS target FROM orders JOIN lineitem ON l_orderkey = o_orderkey"
 
 
 def citing_edges(s, d):

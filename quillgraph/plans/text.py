@@ -11,6 +11,7 @@ from quillgraph.operators import meaning, notes, resolve
 from quillgraph.plans.base import joined, query, rounded
 from quillgraph.sources import tables as T
 from quillgraph.sources.snapshot import abstract_text
+from quillgraph.sources.vault import is_literature
 
 STOPS = "[" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + "]"
 TITLE_STOPS = "[" + ", ".join(f"'{w}'" for w in [*X.STOP_WORDS, *X.TITLE_STOP_WORDS]) + "]"
@@ -43,15 +44,16 @@ def entries(s, d):
 
 @query("normalize_doi", f"WITH {ENTRIES} SELECT id, lower(doi) AS doi FROM entries")
 def normalize_doi(s, d):
-    raw = F.concat(F.when(F.col("id") % 3 == 0, " https://doi.org/").when(F.col("id") % 3 == 1, "http://dx.doi.org/").otherwise("DOI: "), F.upper("doi"), F.lit(" "))
+    forms = (" https://doi.org/", "http://dx.doi.org/", "DOI: ", "doi.org/", "dx.DOI.org/", "https://doi.org/doi:", "")
+    raw = F.concat(F.element_at(F.array(*map(F.lit, forms)), (F.col("id") % len(forms) + 1).cast("int")), F.upper("doi"), F.lit(" "))
     return entries(s, d).select("id", X.normalize_doi(raw).alias("doi"))
 
 
-@query("isbn_extract", "SELECT p_partkey AS id, '978' || lpad(p_partkey::VARCHAR, 10, '0') || '|979' || lpad((p_partkey * 7)::VARCHAR, 10, '0') AS isbns FROM part")
+@query("isbn_extract", "SELECT p_partkey AS id, '978' || lpad(p_partkey::VARCHAR, 10, '0') || '|979' || lpad((p_partkey * 7)::VARCHAR, 10, '0') || '|979' || lpad((p_partkey * 3 + 1)::VARCHAR, 10, '0') AS isbns FROM part")
 def isbn_extract(s, d):
     k = F.lpad(F.col("p_partkey").cast("string"), 10, "0")
     j = F.lpad((F.col("p_partkey") * 7).cast("string"), 10, "0")
-    text = F.concat(F.lit("ISBN 978-"), F.substring(k, 1, 4), F.lit("-"), F.substring(k, 5, 6), F.lit(", 979"), j, F.lit("; 978"), k)
+    text = F.concat(F.lit("ISBN 978-"), F.substring(k, 1, 4), F.lit("-"), F.substring(k, 5, 6), F.lit(", 979"), j, F.lit("; 978"), k, F.lit(", 979."), F.regexp_replace(F.lpad((F.col("p_partkey") * 3 + 1).cast("string"), 10, "0"), "(.)(.{4})(.{4})(.)", "$1.$2 $3.$4"))
     return T.read(s, d, "part").select(F.col("p_partkey").alias("id"), joined(X.isbns_in(text)).alias("isbns"))
 
 
@@ -71,18 +73,35 @@ def work_key(s, d):
     return entries(s, d).select("id", X.work_key(X.name_key(F.col("author")), F.col("year"), F.col("title")).alias("key"))
 
 
-@query("name_key", "SELECT doc_id, regexp_replace(lower(strip_accents(substr(text, 1, 60))), '[^a-z]', '', 'g') AS key FROM documents WHERE lang = 'en'")
+@query("name_key", r"SELECT doc_id, regexp_replace(lower(strip_accents(text)), '[^\p{L}]', '', 'g') AS key FROM documents")
 def name_key(s, d):
     return T.read(s, d, "documents").select("doc_id", X.name_key(F.col("text")).alias("key"))
 
 
+#: Names of several scripts and forms, and their keys.
+SCRIPTS = (("Ёлкин", "елкин"), ("Άννα", "αννα"), ("ﬁsher", "fisher"), ("Ｗａｎｇ", "wang"), ("d'Étienne-Ŵ", "detiennew"), ("Nguyễn", "nguyen"), ("김", "김"), ("ﷺx", "صلىاللهعليهوسلمx"), ("O’Neil 3", "oneil"))
+
+
+@query("name_key_scripts", "SELECT n_nationkey, CASE n_nationkey % 9 " + " ".join(f"WHEN {i} THEN '{k}'" for i, (_, k) in enumerate(SCRIPTS)) + " END || regexp_replace(lower(n_name), '[^a-z]', '', 'g') AS key FROM nation")
+def name_key_scripts(s, d):
+    """By the Column expression; the note scanners' own key must agree (tests)."""
+    name = F.concat(F.element_at(F.array(*(F.lit(n) for n, _ in SCRIPTS)), (F.col("n_nationkey") % len(SCRIPTS) + 1).cast("int")), F.lit(" "), F.col("n_name"))
+    return T.read(s, d, "nation").select("n_nationkey", X.name_key(name).alias("key"))
+
+
+@query("literature_folder", "SELECT p_partkey AS id, p_partkey % 4 = 0 AS is_literature FROM part")
+def literature_folder(s, d):
+    path = F.concat(F.element_at(F.array(*map(F.lit, ("Literature/", "My Literature/", "x/Literature/", "Literature.md/"))), (F.col("p_partkey") % 4 + 1).cast("int")), F.col("p_name"), F.lit(".md"))
+    return T.read(s, d, "part").select(F.col("p_partkey").alias("id"), is_literature(path, "Literature/").alias("is_literature"))
+
+
 @query("reference_heading", "SELECT r_regionkey, (r_regionkey % 2 = 0) AS is_reference FROM region")
 def reference_heading(s, d):
     text = F.element_at(F.array(*map(F.lit, ["**References**", "Results and references to the literature", "7. References:", "Methods", "<BIBLIOGRAPHIE>"])), F.col("r_regionkey") + 1)
     return T.read(s, d, "region").select("r_regionkey", X.is_reference_heading(text).alias("is_reference"))
 
 
-@query("title_overlap", f"WITH p AS (SELECT p_partkey, p_size, {words('p_name')} AS w, {words('p_type')} AS t FROM part) SELECT a.p_partkey AS id_a, b.p_partkey AS id_b, floor(({overlap('a.w', 'b.w')}) * 1000000 + 0.5) / 1000000 AS overlap FROM p a JOIN p b ON a.p_size = b.p_size AND a.p_partkey < b.p_partkey AND a.p_partkey % 10 = b.p_partkey % 10")
+@query("title_overlap", f"WITH p AS (SELECT p_partkey, p_size, {words('p_name')} AS w, {words('p_type')} AS t FROM part) SELECT a.p_partkey AS id_a, b.p_partkey AS id_b, floor(({overlap('a.w', 'b.w')}) * 1000000 + 0.5) / 1000000 AS overlap FROM p a JOIN p b ON a.p_size = b.p_size AND a.p_partkey < b.p_partkey")
 def title_overlap(s, d):
     p = T.read(s, d, "part").select("p_partkey", "p_size", X.title_words(F.col("p_name")).alias("w"))
     a, b = p.alias("a"), p.alias("b")
@@ -147,7 +166,7 @@ def ambiguous_entries(s, d):
 
 @query(
     "same_work_match",
-    f"""WITH c AS (SELECT o_orderkey AS entry_id, p_partkey AS work_id, p_name AS title, p_size::BIGINT AS n, p_partkey AS ord, {words('p_name')} AS tw FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderkey % 10 = 0),
+    f"""WITH c AS (SELECT o_orderkey AS entry_id, p_partkey AS work_id, p_name AS title, p_size::BIGINT AS n, p_partkey AS ord, {words('p_name')} AS tw FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey),
 u AS (SELECT DISTINCT * FROM c WHERE len(tw) > 0), h AS (SELECT *, first_value(tw) OVER (PARTITION BY entry_id ORDER BY ord) AS head FROM u)
 SELECT entry_id, coalesce(CASE WHEN bool_and(least({overlap('tw', 'head')}, {overlap('head', 'tw')}) >= 0.8::DOUBLE) THEN arg_max(work_id, n * 1000000000 - ord) END, -1)::BIGINT AS work_id FROM h GROUP BY entry_id""",
 )
@@ -232,7 +251,7 @@ def citation_urls(s, d):
     return found.select(F.col("path").cast("long").alias("id"), "q", "note", F.coalesce("occ", F.lit(0)).alias("occ"))
 
 
-@query("code_fence_state", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents WHERE length(text) < 3000) SELECT doc_id, n::INTEGER AS n, (sum((length(line) % 7 = 0)::INT) OVER (PARTITION BY doc_id ORDER BY n)) % 2 = 1 AS inside FROM l")
+@query("code_fence_state", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents) SELECT doc_id, n::INTEGER AS n, (sum((length(line) % 7 = 0)::INT) OVER (PARTITION BY doc_id ORDER BY n)) % 2 = 1 AS inside FROM l")
 def code_fence_state(s, d):
     lines = T.read(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     return lines.select("doc_id", "n", X.fence_parity(F.length("line") % 7 == 0, Window.partitionBy("doc_id").orderBy("n")).alias("inside"))
@@ -330,7 +349,7 @@ def incremental_latest(s, d):
     return latest(T.read(s, d, "events").select("user_id", "event_id", "event_type"), "user_id", ["event_id"])
 
 
-@query("citing_top_n", "WITH e AS (SELECT DISTINCT l_suppkey AS id, l_partkey AS citing FROM lineitem WHERE l_quantity >= 40), r AS (SELECT e.id, citing, p_size::BIGINT AS cited_by_count, count(*) OVER (PARTITION BY id)::BIGINT AS total, row_number() OVER (PARTITION BY id ORDER BY p_size DESC, citing)::INTEGER AS rank FROM e JOIN part ON p_partkey = citing) SELECT * FROM r WHERE rank <= 5")
+@query("citing_top_n", "WITH e AS (SELECT DISTINCT l_suppkey AS id, l_partkey AS citing FROM lineitem), r AS (SELECT e.id, citing, p_size::BIGINT AS cited_by_count, count(*) OVER (PARTITION BY id)::BIGINT AS total, row_number() OVER (PARTITION BY id ORDER BY p_size DESC, citing)::INTEGER AS rank FROM e JOIN part ON p_partkey = citing) SELECT * FROM r WHERE rank <= 5")
 def citing_top_n(s, d):
     from quillgraph.sources.snapshot import citing_works
 

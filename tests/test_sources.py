@@ -17,7 +17,7 @@ def test_mini_vault(spark, tmp_path):
     rows = vault.read_vault(spark, str(tmp_path / "vault"))
     got = {r.basename: r for r in rows.collect()}
     assert set(got) == {"Smith 2001", "Doe 1999", "draft"} and got["Smith 2001"].tags == ["#peat"] and got["Smith 2001"].properties["doi"].endswith("10.1/A")
-    assert rows.where(vault.is_literature(F.col("path"), "vault/Literature/")).count() == 2
+    assert rows.where(vault.is_literature(F.col("path"), "Literature/")).count() == 2
     named = rows.select(F.col("basename").alias("path"), F.col("body").alias("text"))
     entries = notes.bibliographies(named)
     assert [(r.first_author, r.doi) for r in entries.orderBy("entry_ord").collect()] == [("Doe", None), ("Roe", "10.9999/zz")]
