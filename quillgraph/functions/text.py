@@ -29,7 +29,6 @@ def _decomposed(form: str) -> tuple[dict[str, str], dict[str, str]]:
 
 _MARKED, _ = _decomposed("NFD")
 _SINGLE, _SEVERAL = _decomposed("NFKD")
-_SEVERAL_CLASS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in _SEVERAL) + "]"
 
 #: Words of English and French that say nothing about a subject.
 STOP_WORDS = (
@@ -51,9 +50,14 @@ FUNCTION_WORDS = {
 }
 
 
+def _ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
 def strip_accents(text: Column) -> Column:
     """Letters without their marks, in any script."""
-    return F.regexp_replace(F.translate(text, "".join(_MARKED), "".join(_MARKED.values())), r"\p{M}", "")
+    bare = F.regexp_replace(F.translate(text, "".join(_MARKED), "".join(_MARKED.values())), r"\p{M}", "")
+    return F.when(_ascii(text), text).otherwise(bare)
 
 
 def plain_letters(text: Column) -> Column:
@@ -62,8 +66,9 @@ def plain_letters(text: Column) -> Column:
     rewritten character by character."""
     table = F.create_map(*(F.lit(x) for pair in _SEVERAL.items() for x in pair))
     spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
-    whole = F.when(text.rlike(_SEVERAL_CLASS), spelled).otherwise(text)
-    return F.regexp_replace(F.translate(whole, "".join(_SINGLE), "".join(_SINGLE.values())), r"\p{M}", "")
+    whole = F.when(F.length(F.translate(text, "".join(_SEVERAL), "")) < F.length(text), spelled).otherwise(text)
+    bare = F.regexp_replace(F.translate(whole, "".join(_SINGLE), "".join(_SINGLE.values())), r"\p{M}", "")
+    return F.when(_ascii(text), text).otherwise(bare)
 
 
 def fold(text: Column) -> Column:

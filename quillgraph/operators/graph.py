@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.lineage import cut
 from quillgraph.operators.order import numbered
 
 
@@ -128,24 +129,38 @@ def common_citers(edges: DataFrame, *, minimum: int) -> DataFrame:
     return edges.groupBy(F.col("target").alias("id")).agg(F.countDistinct("source").alias("citers")).where(F.col("citers") >= minimum)
 
 
+#: Words of 64 bits in a row of a set of core works.
+LANES = 8
+
+
 def co_cited(edges: DataFrame, *, minimum: int = 2) -> DataFrame:
     """(id, co_cited, core_size) of each target: how many works of the core share a
     citer with it, itself excluded; and the core's size without it.
 
-    That is the size of a union of its citers' core works. The largest of these sets
-    counts whole, by its size; only what the other citers add to it becomes rows, so a
-    citer of very many works is never paired with itself, and a target with one citer
-    needs no rows at all."""
+    That is the size of a union of its citers' core works. Core works are numbered, so
+    that a citer's are sets of bits, 64 x LANES a row, and unions are bit_or, of which
+    each task has its part before the shuffle. The largest of a target's sets counts
+    whole, by its size, and only what the other citers add becomes rows: a citer of very
+    many works is never paired with itself, and targets with one citer need no rows."""
     distinct = edges.select("source", "target").distinct()
-    core = common_citers(distinct, minimum=minimum).select("id")
-    own = distinct.join(core.withColumnRenamed("id", "target"), "target", "left_semi")
-    sizes = own.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    per = distinct.groupBy("target").agg(F.count(F.lit(1)).alias("citers"), F.min("source").alias("first"))
+    core = numbered(per.where(F.col("citers") >= minimum).select("target", "first"), "first", "target").select("target", "position")
+    lane, bit = F.floor(F.col("position") / 64) % LANES, F.expr("shiftleft(1L, cast(position % 64 as int))")
+    bits = [f"b{k}" for k in range(LANES)]
+    sets = cut(
+        distinct.join(core, "target")
+        .groupBy("source", F.floor(F.col("position") / (64 * LANES)).alias("word"))
+        .agg(*(F.bit_or(F.when(lane == k, bit).otherwise(F.lit(0).cast("long"))).alias(b) for k, b in enumerate(bits)))
+    )
+    count = lambda columns: sum((F.bit_count(c) for c in columns), F.lit(0))
+    sizes = sets.groupBy("source").agg(F.sum(count(map(F.col, bits))).alias("n"))
     sized = distinct.join(sizes, "source", "left").select("source", "target", F.coalesce("n", F.lit(0)).alias("n"))
-    largest = sized.groupBy("target").agg(F.max(F.struct("n", "source")).alias("top"), F.count(F.lit(1)).alias("citers")).select("target", F.col("top.source").alias("top"), F.col("top.n").alias("n"), "citers")
+    largest = cut(sized.groupBy("target").agg(F.max(F.struct("n", "source")).alias("top"), F.count(F.lit(1)).alias("citers")).select("target", F.col("top.source").alias("top"), F.col("top.n").alias("n"), "citers"))
     others = distinct.join(largest.where("citers > 1").select("target", "top"), "target").where("source <> top")
-    listed = own.select("source", F.col("target").alias("work"))
-    more = others.join(listed, "source").select("target", "top", "work").distinct().join(listed.withColumnRenamed("source", "top"), ["top", "work"], "left_anti")
-    added = more.groupBy("target").agg(F.count(F.lit(1)).alias("more"))
+    union = others.join(sets, "source").groupBy("target", "word").agg(F.max("top").alias("top"), *(F.bit_or(b).alias(b) for b in bits))
+    whole = sets.select(F.col("source").alias("top"), "word", *(F.col(b).alias(f"t{b}") for b in bits))
+    beyond = [F.col(b).bitwiseAND(F.bitwise_not(F.coalesce(f"t{b}", F.lit(0).cast("long")))) for b in bits]
+    added = union.join(whole, ["top", "word"], "left").groupBy("target").agg(F.sum(count(beyond)).alias("more"))
     size = core.agg(F.count(F.lit(1)).alias("core_size"))
     mine = F.when(F.col("citers") >= minimum, 1).otherwise(0)
     return largest.join(added, "target", "left").crossJoin(F.broadcast(size)).select(F.col("target").alias("id"), (F.col("n") + F.coalesce("more", F.lit(0)) - mine).alias("co_cited"), (F.col("core_size") - mine).alias("core_size"))
