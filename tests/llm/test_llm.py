@@ -427,6 +427,53 @@ def test_pii_skip_chain_adds_repeats_and_keeps_base():
     assert pii.all_spans([""], model) == [([], [])]
 
 
+def test_pii_marginals_equal_enumeration():
+    rng = np.random.default_rng(3)
+    for loops, close in ((False, 1e-4), (True, 0.05)):
+        for _ in range(20):
+            n, c = 5, 3
+            score, chain_w, skip_w = rng.normal(size=(n, c)), rng.normal(size=(c, c)), np.eye(c) * 0.8
+            chain = np.array([(0, 1), (1, 2)])
+            skip = np.array([(2, 3), (3, 4), *([(0, 4)] if loops else [])])
+            want = np.zeros((n, c))
+            for y in itertools.product(range(c), repeat=n):
+                e = sum(score[i, y[i]] for i in range(n)) + sum(chain_w[y[a], y[b]] for a, b in chain) + sum(skip_w[y[a], y[b]] for a, b in skip)
+                for i in range(n):
+                    want[i, y[i]] += np.exp(e)
+            want /= want.sum(1, keepdims=True)
+            got = pii.propagated(score, chain, skip, chain_w, skip_w, rounds=80)
+            assert np.abs(got - want).max() < close
+
+
+def test_pii_adds_what_the_patterns_lose(spark):
+    rng = np.random.default_rng(4)
+    phone = lambda: f"+1 ({rng.integers(200, 999)}) 555-{rng.integers(1000, 9999)}"
+    card = lambda: (h := f"4{rng.integers(10**13, 10**14)}") + next(str(k) for k in range(10) if pii.luhn(h + str(k)))
+    rows = [f"ab {phone()} cd {card()} ef {rng.integers(1, 255)}.3.{i % 250}.9 gh u{i}@mail.org ij {rng.integers(10**15, 10**16)} version 3." for i in range(300)]
+    model = pii.fit([pii.reduced(t) for t in rows])
+    a, b, d = card(), card(), phone()
+    text = f"both {a} {b} here, then {d} 10.20.30.40 and 2.0. twice 2001"
+    base, every = pii.all_spans([text], model)[0]
+    added = [(pii.KINDS[k], text[x:y]) for k, x, y in every if (k, x, y) not in base]
+    assert added == [("card", a), ("card", b), ("phone", d)] and set(base) <= set(every)
+    # tokens that differ only behind their two hundredth character aren't the same
+    long = [f"{'7' * 250}1", f"{'7' * 250}2"]
+    assert not len(pii.Graph([f"{long[0]} x {long[1]}"]).skip) and len(pii.Graph([f"{long[0]} x {long[0]}"]).skip) == 1
+
+
+def test_pii_threshold_by_precision():
+    assert pii.least_threshold(np.array([0.99, 0.9, 0.8, 0.7]), np.array([True, True, True, False])) == pytest.approx(0.75)
+    assert pii.least_threshold(np.array([0.9]), np.array([False])) > 0.9 and pii.least_threshold(np.zeros(0), np.zeros(0, bool)) == pii.THRESHOLD
+
+
+def test_pii_sample_of_hot_rows(spark):
+    rows = [(None, "same 10.0.0.1 text")] * 500 + [(i, f"own {i} 10.0.{i % 200}.7") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sample = pii.training_sample(docs, limit=50, among=400)
+    assert len(sample) == 50 and sum("10.0.0.1 " in t for t in sample) <= 2 and all(len(t) < 40 for t in sample)
+    assert sum(map(len, pii.training_sample(docs, chars=200))) <= 200
+
+
 def test_pii_documents(spark):
     texts = [*ODD, "mail a@b.cd and 10.0.0.1", "1" * 50_000, "@" * 50_000, "9 " * 30_000]
     docs = docs_of(spark, texts).withColumn("spans", F.lit(1))
