@@ -25,6 +25,13 @@ def usable(vectors: DataFrame, *, zero: bool) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(~odd & some)
 
 
+def once(vectors: DataFrame) -> DataFrame:
+    """The rows with each vec_id once: of several, the one with the least vector. Ids
+    alone are counted first, so vectors move only where an id is repeated."""
+    n = vectors.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("vec_id").alias("ids")).first()
+    return vectors if n.n == n.ids else vectors.groupBy("vec_id").agg(F.min("v").alias("v"))
+
+
 def dealt(rows: DataFrame, n_rows: int, size: int, seed: int) -> tuple[Column, int]:
     n = max(1, -(-n_rows // size))
     return F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int"), n

@@ -256,6 +256,72 @@ def test_topk_is_exact_with_ties(spark):
         assert len(got) == 14
 
 
+def test_topk_resolves_few_pairs():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids, q = np.arange(6000), np.floor(256 * x)
+    r, vec, score, resolved = topk.resolve(x, ids, x[:200], ids[:200], np.full(200, -np.inf), 5)
+    for i in range(0, 200, 20):
+        assert [(int(v), int(s)) for v, s in zip(vec[r == i], score[r == i])] == [(a, int(b)) for a, b in brute_top(q, ids, i, 5)]
+    heads = np.sort((q[:200] @ q[1000:3000].T), axis=1)[:, -5]  # any vectors give a safe cutoff
+    again = topk.resolve(x, ids, x[:200], ids[:200], heads, 5)
+    assert (again[1] == vec).all() and (again[2] == score).all()
+    assert again[3] < 0.25 * 200 * 6000 and again[3] < resolved
+
+
+def test_topk_of_large_numbers(spark):
+    rows = [(0, [3e17, 1.0], 0), (1, [2e17, 5.0], 0), (2, [-1e17, 0.5], 0), (50, [1.0, 1.0], 0)]
+    v = usable(vectors_of(spark, rows), zero=True)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(v, v.where("vec_id % 50 = 0"), 5).collect()}
+    assert got[0, 1] == (1, 2**63 - 1) and got[0, 3] == (2, -(2**63)) and got[50, 1][0] == 0
+
+
+@pytest.mark.parametrize("kind", ["unit", "lognormal", "one long", "clustered"])
+@pytest.mark.parametrize("width", [64, 256])
+def test_ann_recall_of_unequal_norms(kind, width):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(3000, width))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "lognormal":
+        x *= rng.lognormal(0, 1, size=(3000, 1))
+    if kind == "one long":
+        x[7] *= 100
+    if kind == "clustered":
+        x = x[rng.integers(0, 40, 3000)] + x * 0.3
+    ids = np.arange(3000)
+    r, vec, score, verified = ann.search(ann.Shard(x, ids, np.linalg.norm(x, axis=1).max()), x[:100], ids[:100], np.full(100, -np.inf), 20)
+    hits = sum(len({i for i, _ in brute_top(x, ids, i, 20)} & set(vec[r == i].tolist())) for i in range(100))
+    assert hits >= 0.92 * 2000 and np.allclose(score, (x[r] * x[vec]).sum(1))
+    assert verified < {"unit": 0.95, "one long": 0.95, "lognormal": 0.5, "clustered": 0.5}[kind] * 100 * 3000
+
+
+def test_ann_cells_and_rounds(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(30, 20))
+    x = centres[rng.integers(0, 30, 2000)] + 0.2 * rng.normal(size=(2000, 20))
+    x = np.float32(x / np.linalg.norm(x, axis=1, keepdims=True)).astype(float)
+    x[100:160] = x[100]  # a hot vector
+    v = usable(vectors_of(spark, [(i, r.tolist(), 0) for i, r in enumerate(x)]), zero=False)
+    got = {}
+    for r in ann.nearest(v, v.where("vec_id % 20 = 0"), 20, shard_rows=100, block_rows=30).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    hits = sum(len({i for i, _ in brute_top(x, np.arange(2000), q, 20)} & {i for _, i, _ in rows}) for q, rows in got.items())
+    assert len(got) == 100 and hits >= 0.9 * 2000
+    # copies of a query's vector tie, and the smaller ids win
+    assert [i for _, i, _ in sorted(got[100])] == [i for i in range(101, 121)]
+
+
+def test_repeated_vectors_and_other_columns(spark):
+    rows = [(0, [1.0, 2.0], 5), (0, [0.5, 2.0], 6), (50, [1.0, 1.0], 7), (50, [1.0, 1.0], 8), (7, [3.0, 0.0], 9)]
+    t = vectors_of(spark, rows).withColumn("v", F.lit("mine")).withColumn("rank", F.lit(0)).withColumn("is_query", F.lit(True)).withColumn("query_id", F.lit(1))
+    z, v = usable(t, zero=True), usable(t, zero=False)
+    top = [tuple(r) for r in topk.top_k(z, z.where("vec_id % 50 = 0"), 5).orderBy("query_id", "rank").collect()]
+    assert top == [(0, 1, 50, 2 * 65536 + 32768), (0, 2, 7, 98304), (50, 1, 7, 3 * 65536), (50, 2, 0, 2 * 65536 + 32768)]
+    near = [tuple(r) for r in ann.nearest(v, v.where("vec_id % 50 = 0"), 20).orderBy("query_id", "rank").collect()]
+    assert near == [(0, 1, 50, 2.5), (0, 2, 7, 1.5), (50, 1, 7, 3.0), (50, 2, 0, 2.5)]
+
+
 def _with_shards(rows, run):
     from quillgraph.llm import blocks
 
