@@ -171,6 +171,7 @@ def best_cut(z: np.ndarray, y: np.ndarray) -> float | None:
     order = np.argsort(z, kind="stable")
     z, y = z[order], y[order]
     caught = np.concatenate([[0], np.cumsum(1 - y)]) / (1 - y).sum() + KEEP_WEIGHT * (y.sum() - np.concatenate([[0], np.cumsum(y)])) / y.sum()
+    caught[1:-1][z[1:] == z[:-1]] = -np.inf  # equal scores can't be parted
     best = np.flatnonzero(caught >= caught.max() - 1e-12)
     lo, hi = best[0], best[-1]
     below = z[lo - 1] if lo else z[0] - 1
@@ -192,11 +193,13 @@ def fold(doc_id: Column, modulus: int) -> Column:
 
 
 def bounded(rows: DataFrame, limit: int) -> DataFrame:
-    """About `limit` rows at most, by a seeded hash of doc_id: all where there are fewer."""
-    n = rows.count()
-    parts = 1_000_000
-    share = parts if n <= limit else int(parts * limit / n)
-    return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(parts)) < share)
+    """At most about `limit` different rows of (doc_id, text, y), by a seeded hash of id
+    and text: all where there are fewer. Rows that repeat both count once, so a hot row
+    or null ids neither fill the sample nor empty it."""
+    parts, n = 1_000_000, rows.count()
+    share = parts if n <= limit else max(1, int(parts * limit / n))
+    h = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")), F.lit(7))
+    return rows.select("doc_id", "text", "y").where(F.pmod(h, F.lit(parts)) < share).dropDuplicates(["doc_id", "text"])
 
 
 SPARSE = "doc_id long, y int, col binary, value binary, stats binary"

@@ -155,8 +155,54 @@ def test_bpe_documents(spark):
 
 def test_folding():
     assert toxicity.fold_text("1D10T") == " idiot "
-    assert toxicity.fold_text("ѕсum​! Ï").split() == ["scum", "i"]
+    assert toxicity.fold_text("ѕсum​! Ï").split() == ["scum", "ï", "i"]  # accents stay, and are read again without
+    assert toxicity.fold_text("e\u0301t\u00e9").split() == ["été", "ete"]
     assert toxicity.fold_text("ＬＯＳＥＲ").split() == ["loser"]
+    assert "idiot" in toxicity.fold_text("an i.d.i-o t here").split() and "idiot" in toxicity.fold_text("1 d 1 0 7").split()
+    assert toxicity.fold_text("a b c").split() == ["a", "b", "c"]
+
+
+def test_toxicity_matches_equal_a_naive_search():
+    rng = np.random.default_rng(9)
+    lexicon = {" ab": 3.0, " abc ": 5.0, " bcd": 2.5, " " + "z" * 40 + " ": 4.0, " é": 6.0}
+    auto = toxicity.automaton(lexicon)
+    for _ in range(600):
+        text = toxicity.fold_text(" ".join("".join(rng.choice(list("abcdé"), rng.integers(1, 7))) for _ in range(8)) + rng.choice([" " + "z" * 40, "", " " + "z" * 41]))
+        start, inside = {}, {}
+        for k, w in lexicon.items():
+            for i in range(len(text)):
+                if text.startswith(k, i) and w > start.get(i, ("", 0))[1]:
+                    start[i] = (k, w)
+                inner = k.strip()
+                whole = not k.endswith(" ") or i + len(inner) < len(text) and text[i + len(inner)].isspace()
+                if i and not text[i - 1].isspace() and text.startswith(inner, i) and whole and w > inside.get(i, ("", 0))[1]:
+                    inside[i] = (k, w)
+        got = toxicity.matches(auto, text)
+        assert got[0] == [(a, *start[a]) for a in sorted(start)] and got[1] == [(a, *inside[a]) for a in sorted(inside)], text
+
+
+def test_toxicity_phrases():
+    folded = toxicity.fold_text("one, two  three four")
+    assert toxicity.phrases(folded, folded.index(" two")) == ["one two", "two three"]
+    assert toxicity.phrases(" two ", 0) == []
+
+
+def test_toxicity_learns_long_words_and_many(spark):
+    rng = np.random.default_rng(10)
+    own = [f"{''.join(rng.choice(list('bcdfgh'), 30))}" for _ in range(6)]
+    rows = [(i, " ".join([*rng.choice(["xa", "xe", "xi", "xo"], 20), *([own[i % 6]] if i % 4 == 0 else [])]), i) for i in range(240)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t, _ in rows], DOCS)
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i, _, _ in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.train(quality.learning_rows(docs, labels, "toxic", 3, 1, keep=False))
+    score = toxicity.score_texts(model, [f"xa xe {w} xi" for w in own[::2]] + ["xa xe xi xo", ""])
+    assert (score[:3] >= toxicity.CUT).all() and (score[3:] < toxicity.CUT).all()
+
+
+def test_toxicity_of_odd_tables(spark):
+    docs, labels = labelled(spark, 60)
+    odd = docs.union(docs.limit(5)).withColumn("score", F.lit("mine")).withColumn("y", F.lit(3)).withColumn("half", F.lit(0)).union(spark.createDataFrame([(None, None, None, None, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long, score string, y int, half int"))
+    model = toxicity.train(quality.learning_rows(odd, labels, "toxic", 3, 1, keep=False))
+    assert toxicity.score_documents(odd, model).count() == 66 and toxicity.score_documents(odd.limit(0), model).count() == 0
 
 
 def labelled(spark, n=600, seed=1):
