@@ -38,8 +38,11 @@ SIMILARITY = 0.8
 #: 1 - (1 - 0.8^6)^24 = 0.9993 of the pairs at 0.8 share a bucket.
 BANDS, ROWS = 24, 6
 M = BANDS * ROWS
-#: Rounds in which each bucket compares with one member, before pairs are.
-ROUNDS = 1
+#: Rounds in which each bucket compares with one member, before pairs are: so many at
+#: least, and further ones while they halve the rows of large buckets with several classes.
+ROUNDS, MOST_ROUNDS = 1, 12
+#: Pairs of one leader that share a key.
+SALT = 1024
 #: Larger buckets are compared in blocks of so many rows instead of by a join.
 SMALL_BUCKET = 64
 BLOCK = 1024
@@ -198,10 +201,19 @@ def similarities(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     doc_ids; of rows that repeat a doc_id, the most similar count.
 
     The texts of documents in pairs are shuffled to their pairs; nothing is sent that
-    isn't compared."""
+    isn't compared. A document in very many pairs (a bucket's leader) is dealt
+    to keys of about SALT pairs each, so no task gets them all, and its text is sent
+    once a key, not once a pair."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(wanted, "doc_id", "left_semi"), "neardup-texts")
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    n = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    counted = pairs.join(n.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("doc_id").alias("b"), F.col("n").alias("nb")), "b")
+    turned = counted.select(F.when(F.col("nb") > F.col("na"), F.array("b", "a")).otherwise(F.array("a", "b")).alias("p")).select(F.col("p")[0].alias("a"), F.col("p")[1].alias("b"))
+    salts = turned.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT).alias("salts"))
+    salted = turned.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b", F.lit(3)), F.col("salts")).alias("salt"))
+    of_b = salted.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    of_a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).join(salts, "a").select("a", "text_a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    both = of_b.join(of_a, ["a", "salt"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,7 +232,7 @@ def similarities(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 out[i] = least / max(1, ca[x].sum() + cb[y].sum() - least)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], names=["a", "b", "similarity"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("similarity").alias("similarity"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -330,9 +342,9 @@ def near_classes(members: DataFrame, slim: DataFrame, docs: DataFrame, *, simila
     """(rep, least) of members(rep, bucket), for those with near duplicates.
 
     Each round, each bucket that still has several classes compares its members with one
-    of them, another one each round; verified links merge classes. What is left after
-    the rounds, pairs of one bucket and two classes, is compared pair by pair, in large
-    buckets block by block. Sketches say beforehand which pairs can be similar enough;
+    of them, another one each round; verified links merge classes. Rounds go on while
+    they shrink what large buckets have left; pairs of one bucket and two classes that
+    then remain are compared pair by pair, in large buckets block by block. Sketches say beforehand which pairs can be similar enough;
     texts decide."""
     least = least_agreement(similarity)
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
@@ -341,15 +353,19 @@ def near_classes(members: DataFrame, slim: DataFrame, docs: DataFrame, *, simila
     grouped = written(members.join(shared, "bucket", "left_semi").join(sketch, "rep"), "neardup-buckets")
     classes, links, judged = None, None, None
 
-    for k in range(rounds + 1):
+    k, before, last = 0, None, False
+    while not last:
         placed = grouped.withColumn("least", F.col("rep")) if classes is None else grouped.join(classes, "rep", "left").withColumn("least", F.coalesce("least", "rep"))
         if k:
             mixed = placed.groupBy("bucket").agg(F.min("least").alias("lo"), F.max("least").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("bucket", "n")
             placed = written(placed.join(mixed, "bucket"), "neardup-mixed")
-        last = k == rounds
+        if k >= max(1, rounds):
+            in_large = placed.where(F.col("n") > SMALL_BUCKET).count()
+            last = not in_large or k >= MOST_ROUNDS or before is not None and 2 * in_large > before
+            before = in_large
         if last:
-            large = placed.where(F.col("n") > SMALL_BUCKET).drop("n")
-            if not large.isEmpty():
+            if in_large:
+                large = placed.where(F.col("n") > SMALL_BUCKET).drop("n")
                 blocked = written(block_links(large, slim, docs, similarity), "neardup-links")
                 links = blocked if links is None else links.union(blocked)
             placed = placed.where(F.col("n") <= SMALL_BUCKET)
@@ -372,6 +388,7 @@ def near_classes(members: DataFrame, slim: DataFrame, docs: DataFrame, *, simila
             links = more if links is None else links.union(more)
         if links is not None:
             classes = components(links)
+        k += 1
     return classes if classes is not None else docs.sparkSession.createDataFrame([], "rep long, least long")
 
 
