@@ -181,15 +181,19 @@ def entry_title(text: Column, year: Column) -> Column:
 def family_names(authors: Column) -> Column:
     """Family names of "Family, I., Family, I.": parts of initials alone are dropped."""
     parts = F.transform(F.split(authors, r"[,;]"), lambda x: F.trim(x))
-    return F.filter(parts, lambda x: (x != "") & ~x.rlike(r"^(\p{Lu}\.?[-\s]?)+$"))
+    return F.filter(parts, lambda x: (x != "") & ~x.rlike(r"^(\p{Lu}\.[\s-]*)+$|^\p{Lu}$"))
+
+
+def year_or_none(year: Column, language: str = "en") -> Column:
+    return F.coalesce(year.cast("string"), F.lit("s.d." if language == "fr" else "n.d."))
 
 
 def citation_label(names: Column, year: Column, language: str = "en") -> Column:
-    """A, year / A and B, year / A et al., year."""
-    both = " et " if language == "fr" else " and "
-    who = F.when(F.size(names) == 1, names[0]).when(F.size(names) == 2, F.concat(names[0], F.lit(both), names[1])).otherwise(F.concat(names[0], F.lit(" et al.")))
-    none = "s.d." if language == "fr" else "n.d."
-    return F.concat(who, F.lit(", "), F.coalesce(year.cast("string"), F.lit(none)))
+    """year / A, year / A & B, year / A et al., year."""
+    both = " et " if language == "fr" else " & "
+    who = F.when(F.size(names) == 1, F.try_element_at(names, F.lit(1))).when(F.size(names) == 2, F.concat(F.try_element_at(names, F.lit(1)), F.lit(both), F.try_element_at(names, F.lit(2)))).otherwise(F.concat(F.try_element_at(names, F.lit(1)), F.lit(" et al.")))
+    y = year_or_none(year, language)
+    return F.when(F.size(names) == 0, y).otherwise(F.concat(who, F.lit(", "), y))
 
 
 def in_text_citation(names: Column, year: Column, language: str = "en") -> Column:
@@ -203,9 +207,12 @@ def initials(given: Column) -> Column:
 
 
 def reference_authors(names: Column, language: str = "en") -> Column:
-    """An APA author list: the last one after &; of more than 20, nineteen and the last."""
-    joined = F.when(F.size(names) == 0, "").when(F.size(names) == 1, names[0]).when(F.size(names) <= 20, F.concat(F.array_join(F.slice(names, F.lit(1), F.size(names) - 1), ", "), F.lit(", & "), F.element_at(names, -1)))
-    return joined.otherwise(F.concat(F.array_join(F.slice(names, 1, 19), ", "), F.lit(", … "), F.element_at(names, -1)))
+    """An APA author list: the last one after & (et); of more than 20, nineteen and the
+    last."""
+    last, rest = F.try_element_at(names, F.lit(-1)), F.array_join(F.slice(names, F.lit(1), F.greatest(F.lit(0), F.size(names) - 1)), ", ")
+    few = F.concat(rest, F.lit(" et " if language == "fr" else ", & "), last)
+    many = F.concat(F.array_join(F.slice(names, 1, 19), ", "), F.lit(", … "), last)
+    return F.when(F.size(names) == 0, "").when(F.size(names) == 1, last).when(F.size(names) <= 20, few).otherwise(many)
 
 
 def file_name(text: Column) -> Column:

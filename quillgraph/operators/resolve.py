@@ -28,18 +28,26 @@ def entry_matches(e, w) -> Column:
     return F.when(both & same, True).when(both & apart, False).otherwise(F.coalesce(rest, F.lit(False)))
 
 
-def resolve_entries(entries: DataFrame, works: DataFrame) -> DataFrame:
+def block_key(authors, year) -> Column:
+    """First author and year; null without either, so that such rows meet nothing."""
+    first = F.try_element_at(authors, F.lit(1))
+    return F.when((first != "") & (year != ""), F.concat(first, F.lit("|"), year))
+
+
+def resolve_entries(entries: DataFrame, works: DataFrame, owners: DataFrame | None = None) -> DataFrame:
     """(entry_id, path) of entries(entry_id, from_path, doi, year, authors, et_al, text)
     against works(path, ord, doi, year, authors, titles).
 
     A DOI that a work has decides: that work, or null where it is the citing note
-    itself. Else the one other work of the block that matches; several give null."""
-    entry = entries.withColumn("text_words", title_words(F.col("text"))).withColumn("block", F.concat_ws("|", F.try_element_at("authors", F.lit(1)), "year"))
-    work = works.withColumn("title_sets", F.transform(F.filter("titles", lambda t: F.trim(t) != ""), title_words)).withColumn("block", F.concat_ws("|", F.try_element_at("authors", F.lit(1)), "year"))
-    owners = work.where("doi is not null").groupBy("doi").agg(F.min_by("path", "ord").alias("owner"))
+    itself. Else the one other work of the block that matches; several give null. With
+    owners(doi, owner), these say which work has a DOI."""
+    entry = entries.withColumn("text_words", title_words(F.col("text"))).withColumn("block", block_key(F.col("authors"), F.col("year")))
+    work = works.withColumn("title_sets", F.transform(F.filter("titles", lambda t: F.trim(t) != ""), title_words)).withColumn("block", block_key(F.col("authors"), F.col("year")))
+    if owners is None:
+        owners = work.where("doi is not null").groupBy("doi").agg(F.min_by("path", "ord").alias("owner"))
     hit = entry.join(owners, "doi", "left").select("entry_id", "from_path", "owner", "block", "doi", "year", "authors", "et_al", "text_words")
-    open_ = hit.where("owner is null")
-    side = work.select("block", "path", F.struct("doi", "year", "authors", "title_sets").alias("w"))
+    open_ = hit.where("owner is null and block is not null")
+    side = work.where("block is not null").select("block", "path", F.struct("doi", "year", "authors", "title_sets").alias("w"))
     pairs = open_.join(side, "block").where(F.col("path") != F.col("from_path")).where(entry_matches(lambda c: F.col(c), lambda c: F.col(f"w.{c}")))
     fuzzy = pairs.groupBy("entry_id").agg(F.count(F.lit(1)).alias("n"), F.first("path").alias("found")).select("entry_id", F.when(F.col("n") == 1, F.col("found")).alias("found"))
     direct = F.when(F.col("owner") != F.col("from_path"), F.col("owner"))

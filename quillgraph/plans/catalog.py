@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillgraph.plans import graph, meaning, text  # noqa: F401
+from quillgraph.plans import collection, graph, meaning, text  # noqa: F401
 from quillgraph.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

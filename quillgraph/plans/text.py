@@ -282,7 +282,7 @@ def apa_reference(s, d):
     return rows.select(F.col("p_partkey").alias("id"), X.reference_authors(names).alias("authors"))
 
 
-@query("in_text_citation", "SELECT p_partkey AS id, '(' || CASE p_partkey % 3 WHEN 0 THEN n_name WHEN 1 THEN n_name || ' and ' || p_brand ELSE n_name || ' et al.' END || ', ' || coalesce((CASE WHEN p_size > 5 THEN 1950 + p_size END)::VARCHAR, 'n.d.') || ')' AS citation FROM part JOIN nation ON n_nationkey = p_partkey % 25")
+@query("in_text_citation", "SELECT p_partkey AS id, '(' || CASE p_partkey % 3 WHEN 0 THEN n_name WHEN 1 THEN n_name || ' & ' || p_brand ELSE n_name || ' et al.' END || ', ' || coalesce((CASE WHEN p_size > 5 THEN 1950 + p_size END)::VARCHAR, 'n.d.') || ')' AS citation FROM part JOIN nation ON n_nationkey = p_partkey % 25")
 def in_text_citation(s, d):
     names = F.slice(F.array("n_name", "p_brand", "p_type"), F.lit(1), (F.col("p_partkey") % 3 + 1).cast("int"))
     rows = T.read(s, d, "part").join(F.broadcast(T.read(s, d, "nation")), F.col("n_nationkey") == F.col("p_partkey") % 25)
