@@ -117,28 +117,31 @@ def mix(docs: DataFrame, *, seed: str = SEED, weights=WEIGHTS, max_repeats: int
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """The documents as the mix takes them: a row for each whole copy, and one with the
-    first words where a block's end cuts the text; what isn't taken goes.
+    first words where a block's end cuts the text; what isn't taken goes, null and blank
+    texts among it.
 
-    `taken` belongs to a row, so rows get their own number while it is worked out."""
+    `taken` belongs to a row, so rows get their own number while it is worked out. They
+    travel as one struct, so their columns may have any names."""
     names = docs.columns
     # the row's own number must not depend on how the rows are read again
-    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
-    keyed = numbered.select(F.struct("doc_id", "_row").alias("doc_id"), "text", "source")
-    mixed = mix(keyed.withColumn("doc_id", F.to_json(F.struct(F.col("doc_id.doc_id").alias("d"), F.col("doc_id._row").alias("r")))), **options)
-    taken = mixed.where("taken > 0").select(F.get_json_object("doc_id", "$.r").cast("long").alias("_row"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    part = F.col("_taken") % F.col("_size")
-    rows = numbered.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")))))
-    cut = (F.col("_copy") > F.floor(F.col("_taken") / F.col("_size"))) & (part > 0)
-    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), part.cast("int")), "")
-    text = F.when(cut, first).otherwise(F.col("text"))
-    out = rows.withColumn("text", text)
+    numbered = written(docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("doc"), F.monotonically_increasing_id().alias("row")), "mix-rows")
+    keyed = numbered.select(F.to_json(F.struct(F.col("doc.doc_id").alias("d"), F.col("row").alias("r"))).alias("doc_id"), F.col("doc.text").alias("text"), F.col("doc.source").alias("source"))
+    taken = mix(keyed, **options).where("taken > 0").select(F.get_json_object("doc_id", "$.r").cast("long").alias("row"), "size", "taken")
+    part = F.col("taken") % F.col("size")
+    rows = numbered.join(taken, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")))))
+    cut = (F.col("copy") > F.floor(F.col("taken") / F.col("size"))) & (part > 0)
+    first = F.array_join(F.slice(F.regexp_extract_all("doc.text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), part.cast("int")), "")
+    text = F.when(cut, first).otherwise(F.col("doc.text"))
+    made = {"text": text}
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*names)
+        made["n_chars"] = F.when(cut, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars"))
+    return rows.select(*(made.get(c, F.col(f"doc.`{c}`")).alias(c) for c in names))
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents mixed to the contract's weights."""
+    """All documents mixed to the contract's weights: a row for each row. Null and blank
+    texts have size 0 and take 0, repeated rows count as own documents, a null source is
+    a source, the last; other columns are ignored; an empty table gives no rows."""
     return mix(table(spark, sf_dir, "documents"))
 
 

@@ -266,13 +266,26 @@ def score_documents(docs: DataFrame, model: dict) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, model: dict, *, cut: float = CUT) -> DataFrame:
+    """The documents that score `cut` or more, with their own columns, whatever these are
+    called; null and empty texts have a score like any other."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(score(model, b.column(at)) >= cut))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def train_query(spark: SparkSession, docs: DataFrame, sf_dir: str) -> dict:
     return train(learning_rows(docs, table(spark, sf_dir, "labels"), "quality", 5, 0, keep=False))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every whole text of documents; fitted on labelled rows outside the
-    held-out fold."""
+    held-out fold. A row for each row: null and empty texts have a score, repeated rows
+    are kept, other columns are ignored; an empty table gives no rows."""
     small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     scored = score_documents(docs.select("doc_id", "text"), train_query(spark, docs, sf_dir))
