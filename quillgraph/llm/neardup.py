@@ -43,6 +43,8 @@ M = BANDS * ROWS
 ROUNDS, MOST_ROUNDS = 1, 12
 #: Pairs of one leader that share a key.
 SALT = 1024
+#: Up to so many such leaders are broadcast.
+HOT_ROWS = 200_000
 #: Larger buckets are compared in blocks of so many rows instead of by a join.
 SMALL_BUCKET = 64
 BLOCK = 1024
@@ -206,13 +208,15 @@ def similarities(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     once a key, not once a pair."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(wanted, "doc_id", "left_semi"), "neardup-texts")
-    n = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    counted = pairs.join(n.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("doc_id").alias("b"), F.col("n").alias("nb")), "b")
-    turned = counted.select(F.when(F.col("nb") > F.col("na"), F.array("b", "a")).otherwise(F.array("a", "b")).alias("p")).select(F.col("p")[0].alias("a"), F.col("p")[1].alias("b"))
-    salts = turned.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT).alias("salts"))
-    salted = turned.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b", F.lit(3)), F.col("salts")).alias("salt"))
+    n = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / SALT).alias("salts"))
+    hot = written(n.where("salts > 1"), "neardup-hot")
+    side = hot if hot.count() > HOT_ROWS else F.broadcast(hot)  # a row has two longs, so the broadcast has 16 HOT_ROWS bytes at most
+    counted = pairs.join(side.select(F.col("doc_id").alias("a"), F.col("salts").alias("na")), "a", "left").join(side.select(F.col("doc_id").alias("b"), F.col("salts").alias("nb")), "b", "left").fillna(1, ["na", "nb"])
+    turned = counted.select(F.when(F.col("nb") > F.col("na"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))).otherwise(F.struct("a", "b")).alias("p"), F.greatest("na", "nb").alias("salts"))
+    salted = turned.select("p.a", "p.b", F.pmod(F.xxhash64("p.b", F.lit(3)), F.col("salts")).alias("salt"))
     of_b = salted.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    of_a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).join(salts, "a").select("a", "text_a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    every = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).join(side.select(F.col("doc_id").alias("a"), "salts"), "a", "left").fillna(1, ["salts"])
+    of_a = every.select("a", "text_a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
     both = of_b.join(of_a, ["a", "salt"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

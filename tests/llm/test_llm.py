@@ -650,3 +650,63 @@ def test_sql(spark, name):
     got, want = QUERIES[name](spark, SF), c.sql(ORACLE_SQL[name])
     rows = sorted(map(str, (tuple(r) for r in got.select(*want.columns).collect())))
     assert rows == sorted(map(str, want.fetchall()))
+
+
+@needs_vocabulary
+def test_pipeline_stages_alone_against_brute_force(spark, tmp_path):
+    """Each stage on odd rows: nulls, empty and long texts, repeats, other columns."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(12)
+    words = [f"w{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "lmnr"]
+    texts = [" ".join(rng.choice(words, 60)) for _ in range(30)]
+    texts += [texts[3], texts[3] + " more", "", None, None, "word " * 20_000, f"mail a.b@c.org or 10.1.2.3 {texts[5]}"]
+    rows = [(i, t, "en", [None, "s1", "s2"][i % 3], len(t) if t is not None else None, 0.5, f"c{i}", i) for i, t in enumerate(texts)]
+    rows += [rows[0], (None, "no id", "en", "s1", 5, 0.5, "c", 1)]
+    docs = spark.createDataFrame(rows, DOCS + ", score double, row string, spans int")
+    labels = [(i, int(i % 2 == 0), 0) for i in range(20)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    table = lambda df: sorted(map(tuple, df.collect()), key=str)
+
+    model = quality.train_query(spark, docs, str(tmp_path))
+    scores = quality.score(model, pa.array([r[1] for r in rows], pa.string()))
+    assert table(stages["quality"](spark, docs, str(tmp_path))) == sorted((r for r, s in zip(rows, scores) if s >= quality.CUT), key=str)
+
+    classes = brute_classes([(i, t) for i, t in enumerate(texts)])
+    kept = stages["near_dedup"](spark, docs, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(i for i, c in classes.items() if i == c)
+    assert sum(r.doc_id is None for r in kept) == 1 and kept[0].asDict().keys() == set(docs.columns)
+
+    model = pii.train(docs)
+    want = []
+    for r in rows:
+        _, spans = pii.all_spans([r[1] or ""], model)[0]
+        clean = pii.redact(r[1], spans) if spans else r[1]
+        want.append((r[0], clean, r[2], r[3], r[4] if clean == r[1] else len(clean), *r[5:]))
+    got = table(stages["pii"](spark, docs, str(tmp_path)))
+    assert got == sorted(want, key=str) and any("<EMAIL>" in (r[1] or "") and "<IP>" in r[1] for r in got)
+
+    mixed = stages["mix"](spark, docs, str(tmp_path))
+    count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    by_source, size = Counter(), Counter()
+    for r in mixed.collect():
+        by_source[r.source] += count(r.text)
+        assert (texts[r.doc_id] if r.doc_id is not None else "no id").startswith(r.text.rstrip()[:40])
+    for r in rows:
+        size[r[3]] += count(r[1])
+    target = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(list(size.items()), "source string, source_size long")).collect()}
+    assert all(abs(by_source[k] - target[k]) <= 0.05 * target[k] + 1024 for k in target) and mixed.columns == docs.columns
+
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(bpe.default_vocabulary())
+    tokenizer.no_padding()
+    tokenizer.no_truncation()
+    encoded = stages["bpe"](spark, docs, str(tmp_path)).collect()
+    assert len(encoded) == len(rows)
+    for r in encoded:
+        if r.doc_id is not None:
+            assert r.ids == tokenizer.encode(texts[r.doc_id] or "", add_special_tokens=False).ids and r.n_tokens == len(r.ids)
+    for name, stage in stages.items():
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
