@@ -182,8 +182,8 @@ def packed(vector: Column) -> Column:
 
 def unpacked(packed_: Column) -> Column:
     """The vector again, of unit length; null if it is zero."""
-    digits = F.hex(F.unbase64(packed_))
-    byte = lambda i: F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
-    v = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), (F.length(digits) / 2).cast("int") - 1)), lambda i: F.when(byte(i) > 127, byte(i) - 256).otherwise(byte(i)).cast("double"))
-    size = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when((F.length(digits) > 0) & (size > 0), F.transform(v, lambda x: x / size))
+    byte = lambda x: F.conv(x, 16, 10).cast("int")
+    levels = F.transform(F.regexp_extract_all(F.hex(F.unbase64(packed_)), F.lit(".."), F.lit(0)), lambda x: F.when(byte(x) > 127, byte(x) - 256).otherwise(byte(x)).cast("double"))
+    # the size goes along as the fold's result, so that the levels are read once
+    scaled = lambda v: F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y * y)))
+    return F.transform(F.array(levels), lambda v: F.when(F.exists(v, lambda x: x != 0), scaled(v)))[0]
