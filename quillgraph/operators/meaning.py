@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.geometry import dot
+from quillgraph.lineage import cut
+from quillgraph.operators.order import numbered
 
 
 def term_counts(tokens: DataFrame) -> DataFrame:
@@ -58,10 +60,15 @@ def knn_cosine(vectors: DataFrame, k: int) -> DataFrame:
             return pa.table({"id": pa.array([], pa.int64()), "neighbour": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
         s = x @ y.T
         s[q[:, None] == c[None, :]] = -np.inf
-        order = np.lexsort((np.broadcast_to(c, s.shape), -s), axis=1)[:, :k]
-        score = np.take_along_axis(s, order, 1)
-        r, j = np.nonzero(np.isfinite(score))
-        return pa.table({"id": q[r], "neighbour": c[order[r, j]], "similarity": score[r, j]})
+        # the k-th best of a row is its floor; only what reaches it is sorted
+        floor = np.partition(s, max(0, len(c) - k), axis=1)[:, max(0, len(c) - k)]
+        r, j = np.nonzero((s >= floor[:, None]) & np.isfinite(s))
+        score, near = s[r, j], c[j]
+        order = np.lexsort((near, -score, r))
+        r, score, near = r[order], score[order], near[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        keep = place < k
+        return pa.table({"id": q[r[keep]], "neighbour": near[keep], "similarity": score[keep]})
 
     found = left.union(right).groupBy("a", "b").applyInArrow(compare, "id long, neighbour long, similarity double")
     return top_per(found, "id", k, F.desc("similarity"), F.col("neighbour"))
@@ -141,6 +148,16 @@ def align(places: DataFrame, onto: DataFrame) -> DataFrame:
     return places.crossJoin(F.broadcast(turn)).select("id", (c * F.col("x") - d * y).alias("nx"), (d * F.col("x") + c * y).alias("ny")).toDF("id", "x", "y")
 
 
+def quantile_of(rows: DataFrame, key: str, value: str, share: float) -> DataFrame:
+    """(key, value): the value at place floor(share * n) of each key's sorted values.
+
+    Rows are sorted once over all tasks by key and value; a row's place in its key is its
+    place less the key's first, so no task and no array holds a whole key."""
+    placed = numbered(rows.where(F.col(value).isNotNull()).select(key, value), key, value, name="at")
+    span = placed.groupBy(key).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    return placed.join(span, key).where(F.col("at") == F.col("first") + F.floor(share * F.col("n"))).select(key, value)
+
+
 def kmeans_step(places: DataFrame, centres: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(assignments(id, grp), centres(grp, x, y)): nearest centre, ties to the smaller;
     an empty group keeps its centre. Centres are at most a few dozen rows."""
@@ -158,7 +175,11 @@ def kmeans(places: DataFrame, k: int, *, rounds: int = 25) -> tuple[DataFrame, l
     come to the driver between rounds."""
     spark = places.sparkSession
     placed = places.where("x is not null").withColumn("angle", F.atan2("y", "x"))
-    ordered = placed.withColumn("k", F.ntile(k).over(Window.orderBy("angle", "id")))
+    n = placed.count()
+    # tiles as ntile deals them: the first n % k have one more
+    at, more = F.col("at"), (n % k) * (n // k + 1)
+    tile = F.when(at < more, F.floor(at / (n // k + 1))).otherwise(n % k + F.floor((at - more) / max(1, n // k))).cast("int") + 1
+    ordered = numbered(placed, "angle", "id", name="at").withColumn("k", tile)
     centres = [(r.k - 1, r.x, r.y) for r in ordered.groupBy("k").agg(F.min_by("x", F.struct("angle", "id")).alias("x"), F.min_by("y", F.struct("angle", "id")).alias("y")).collect()]
     assigned = None
     for _ in range(rounds):
@@ -241,7 +262,7 @@ def latent_vectors(weights: DataFrame, dims: int = 64, *, rounds: int = 5, seed:
             total += np.frombuffer(r.m).reshape(b.shape)
         return total
 
-    docs = weights.groupBy("doc_id").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights")).persist()
+    docs = cut(weights.groupBy("doc_id").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights")))
     for _ in range(rounds):
         basis = np.linalg.qr(gram(basis))[0]
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import geometry as G
 from quillgraph.operators import meaning as M
+from quillgraph.operators.order import numbered
 from quillgraph.plans.base import query, rounded
 from quillgraph.sources import tables as T
 
@@ -116,12 +116,10 @@ def group_targets(s, d):
 
 @query("quantile_radius", f"WITH {PLACES}, m AS (SELECT label, list_sort(list(x)) AS xs, list_sort(list(y)) AS ys FROM p GROUP BY label), q AS (SELECT p.label, list_sort(list(sqrt((x - xs[len(xs) // 2 + 1]) ** 2 + (y - ys[len(ys) // 2 + 1]) ** 2))) AS rs FROM p JOIN m ON m.label = p.label GROUP BY p.label) SELECT q.label, {r6('xs[len(xs) // 2 + 1]')} AS x, {r6('ys[len(ys) // 2 + 1]')} AS y, {r6('rs[floor(0.8::DOUBLE * len(rs))::INT + 1]')} AS radius FROM q JOIN m ON m.label = q.label")
 def quantile_radius(s, d):
-    def at(column, share):
-        return F.element_at(F.sort_array(column), F.floor(share * F.size(column)).cast("int") + 1)
-
-    mid = places(s, d).groupBy("label").agg(at(F.collect_list("x"), 0.5).alias("mx"), at(F.collect_list("y"), 0.5).alias("my"))
-    far = places(s, d).join(mid, "label").withColumn("far", F.sqrt((F.col("x") - F.col("mx")) ** 2 + (F.col("y") - F.col("my")) ** 2))
-    return far.groupBy("label").agg(F.first("mx").alias("mx"), F.first("my").alias("my"), at(F.collect_list("far"), 0.8).alias("r")).select("label", rounded(F.col("mx")).alias("x"), rounded(F.col("my")).alias("y"), rounded(F.col("r")).alias("radius"))
+    p = places(s, d)
+    mid = M.quantile_of(p, "label", "x", 0.5).withColumnRenamed("x", "mx").join(M.quantile_of(p, "label", "y", 0.5).withColumnRenamed("y", "my"), "label")
+    far = p.join(mid, "label").withColumn("far", F.sqrt((F.col("x") - F.col("mx")) ** 2 + (F.col("y") - F.col("my")) ** 2))
+    return M.quantile_of(far, "label", "far", 0.8).join(mid, "label").select("label", rounded(F.col("mx")).alias("x"), rounded(F.col("my")).alias("y"), rounded(F.col("far")).alias("radius"))
 
 
 @query("legend_center", f"WITH {PLACES} SELECT label, {r6('avg(x)', 5)} AS x, {r6('avg(y)', 5)} AS y, count(*)::BIGINT AS works FROM p GROUP BY label")
@@ -132,8 +130,8 @@ def legend_center(s, d):
 @query("even_hues", f"WITH {PLACES}, a AS (SELECT id, atan2(y, x) AS angle FROM p) SELECT id, {r6('(row_number() OVER (ORDER BY angle, id) - 1 + 0.5::DOUBLE) / count(*) OVER () * 360', 5)} AS hue FROM a")
 def even_hues(s, d):
     a = places(s, d).select("id", F.atan2("y", "x").alias("angle"))
-    k = F.row_number().over(Window.orderBy("angle", "id")) - 1
-    return a.select("id", rounded((k + 0.5) / F.count(F.lit(1)).over(Window.partitionBy()) * 360, 5).alias("hue"))
+    n = a.agg(F.count(F.lit(1)).alias("n"))
+    return numbered(a, "angle", "id", name="k").crossJoin(F.broadcast(n)).select("id", rounded((F.col("k") + 0.5) / F.col("n") * 360, 5).alias("hue"))
 
 
 _HSL = """CASE WHEN h < 1 THEN [c, x, 0] WHEN h < 2 THEN [x, c, 0] WHEN h < 3 THEN [0, c, x] WHEN h < 4 THEN [0, x, c] WHEN h < 5 THEN [x, 0, c] ELSE [c, 0, x] END"""
@@ -198,6 +196,14 @@ def spanning_tree_weight(s, d):
     return M.spanning_tree(near.select(F.col("id").alias("a"), F.col("neighbour").alias("b"), "similarity"))
 
 
+@query("spanning_tree_shape", "SELECT n_nationkey AS a, n_nationkey + 1 AS b FROM nation WHERE n_nationkey % 5 <> 4")
+def spanning_tree_shape(s, d):
+    """Of complete graphs of five nations, whose similarity falls with their distance, the path stays."""
+    n = T.read(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
+    edges = n.select(F.col("k").alias("a")).join(n.select(F.col("k").alias("b")), (F.floor(F.col("a") / 5) == F.floor(F.col("b") / 5)) & (F.col("a") < F.col("b")))
+    return M.spanning_tree(edges.withColumn("similarity", (1.0 / (F.col("b") - F.col("a"))).cast("double"))).select("a", "b")
+
+
 @query("lsa_groups")
 def lsa_groups(s, d):
     from quillgraph.plans.text import english_counts, english_size
@@ -206,11 +212,36 @@ def lsa_groups(s, d):
     return M.latent_vectors(M.tfidf(counts, M.vocabulary(counts, english_size(s, d))))
 
 
+@query("meaning_groups_apart", "SELECT label, count(*)::BIGINT AS n, 1::BIGINT AS groups FROM embeddings WHERE label < 6 GROUP BY label")
+def meaning_groups_apart(s, d):
+    """Places far apart by label: each label is one group."""
+    p = places(s, d).where("label < 6").select("id", "label", (10 * F.cos(F.col("label") * F.pi() / 3 + 0.1) + F.col("x") / 10).alias("x"), (10 * F.sin(F.col("label") * F.pi() / 3 + 0.1) + F.col("y") / 10).alias("y"))
+    return p.join(M.kmeans(p.select("id", "x", "y"), 6)[0], "id").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("grp").alias("groups"))
+
+
 @query("meaning_groups")
 def meaning_groups(s, d):
     return M.kmeans(places(s, d).select("id", "x", "y"), 6)[0]
 
 
+@query("communities_apart", "SELECT n_regionkey, count(*)::BIGINT AS works, 1::BIGINT AS communities FROM nation GROUP BY n_regionkey")
+def communities_apart(s, d):
+    """Nations of a region all linked to each other, regions not: each region is one community."""
+    from quillgraph.operators.communities import label_propagation
+
+    n = T.read(s, d, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("id"), "n_regionkey")
+    edges = n.withColumnRenamed("id", "source").join(n.withColumnRenamed("id", "target"), "n_regionkey").where("source < target").select("source", "target")
+    return n.join(label_propagation(edges), "id").groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("works"), F.countDistinct("community").alias("communities"))
+
+
+@query("atoms_alone", "WITH c AS (SELECT 'P' || l_partkey AS id, min('S' || l_suppkey) AS nucleus FROM lineitem WHERE l_suppkey % 5 = l_partkey % 5 GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 1) SELECT id, nucleus FROM c")
+def atoms_alone(s, d):
+    from quillgraph.operators.communities import atoms as place_atoms
+
+    e = T.read(s, d, "lineitem").where("l_suppkey % 5 = l_partkey % 5").select(F.concat(F.lit("S"), "l_suppkey").alias("source"), F.concat(F.lit("P"), "l_partkey").alias("target")).distinct()
+    return place_atoms(e).where("not shared").select("id", "nucleus")
+
+
 @query("communities")
 def communities(s, d):
     from quillgraph.operators.communities import label_propagation

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import normalize_doi
+from quillgraph.operators.order import numbered
 
 #: The raw records' fields that are read.
 RAW = (
@@ -53,10 +54,8 @@ def lookup(dois: DataFrame, doi_to_id: DataFrame, works: DataFrame) -> DataFrame
 
 def to_fetch(dois: DataFrame, doi_to_id: DataFrame, batch: int = 50) -> DataFrame:
     """(doi, batch) of DOIs that were never asked for; known-unknown ones aren't."""
-    from pyspark.sql import Window
-
     new = dois.select("doi").distinct().join(doi_to_id.select("doi"), "doi", "left_anti")
-    return new.withColumn("batch", F.floor((F.row_number().over(Window.orderBy("doi")) - 1) / batch))
+    return numbered(new, "doi").select("doi", F.floor(F.col("position") / batch).alias("batch"))
 
 
 def citing_works(works: DataFrame, ids: DataFrame, limit: int = 50) -> DataFrame:

@@ -100,3 +100,41 @@ def test_incremental_equals_batch(spark, tmp_path):
     assert {(r.path, r.text) for r in state.read().collect()} == {("c", "one"), ("d", "x\n y")}
     after = S.apply_changes(state.read(), spark.createDataFrame([(9, "changed", "d", None, "x y"), (10, "changed", "c", None, "three")], S.EVENT))
     assert {(r.path, r.kind) for r in S.change_kinds(state.read(), after).collect()} == {("d", "moved"), ("c", "changed")}
+
+
+def test_state_survives_a_new_checkpoint(spark, tmp_path):
+    import json
+
+    from quillgraph.streaming import incremental as S
+
+    def put(n, rows):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{n}.json").write_text("\n".join(map(json.dumps, rows)))
+
+    put(1, [{"seq": 1, "op": "changed", "path": "a", "text": "one"}])
+    S.run_available(spark, str(tmp_path / "in"), str(tmp_path / "state"), str(tmp_path / "cp1"))
+    put(2, [{"seq": 2, "op": "changed", "path": "b", "text": "two"}])
+    state = S.run_available(spark, str(tmp_path / "in"), str(tmp_path / "state"), str(tmp_path / "cp2"))
+    assert {r.path for r in state.read().collect()} == {"a", "b"}
+    version = state.version()
+    state.update(spark.createDataFrame([(3, "changed", "c", None, "x")], S.EVENT), 0, str(tmp_path / "cp2"))  # a repeated batch
+    assert state.version() == version
+
+
+def test_numbering_and_unions_against_brute_force(spark):
+    import random
+
+    from quillgraph.operators import graph
+    from quillgraph.operators.order import numbered
+
+    rng = random.Random(3)
+    rows = [(rng.randrange(9), i) for i in range(500)]
+    got = numbered(spark.createDataFrame(rows, "a int, position long").repartition(7), "a", "position", name="at").collect()
+    assert [r["at"] for r in sorted(got, key=lambda r: (r.a, r.position))] == list(range(500))
+    edges = {(f"s{rng.randrange(30) if i % 3 else 0}", f"t{rng.randrange(120)}") for i in range(700)}  # s0 holds a third of all
+    citers = {}
+    for u, v in edges:
+        citers.setdefault(v, set()).add(u)
+    core = {v for v, c in citers.items() if len(c) >= 2}
+    want = {v: (len({w for u, w in edges if u in c and w in core} - {v}), len(core - {v})) for v, c in citers.items()}
+    assert {r.id: (r.co_cited, r.core_size) for r in graph.co_cited(spark.createDataFrame(list(edges), "source string, target string")).collect()} == want

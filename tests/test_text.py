@@ -12,31 +12,32 @@ def one(spark, column):
 
 
 def test_tokens(spark):
-    assert one(spark, X.tokenize(F.lit("Les tourbières et la nappe phréatique des sphaignes"))) == ["tourbiere", "nappe", "phreatique", "sphaigne"]
-    assert one(spark, X.tokenize(F.lit("The water table of the bogs, and its moss"))) == ["water", "table", "bog", "moss"]
+    assert one(spark, X.tokenize(F.lit("Les forêts boréales et leurs mésanges"))) == ["foret", "boreale", "mesange"]
+    assert one(spark, X.tokenize(F.lit("The grass of the hills, and its roots"))) == ["grass", "hill", "root"]
 
 
 def test_titles(spark):
-    text = F.lit("Gorham, E. 1991. Northern peatlands: role in the carbon cycle. Ecol. Appl. 1: 182–195.")
-    assert one(spark, X.entry_title(text, F.lit("1991"))) == "Northern peatlands: role in the carbon cycle"
-    assert one(spark, X.title_overlap(X.title_words(F.lit("The Biology of Peatlands")), X.title_words(F.lit("Rydin 2006. The biology ofpeatlands.")))) == 1.0
-    assert one(spark, X.title_overlap(X.title_words(F.lit("Peat oxidation")), X.title_words(F.lit("Cutover peatlands: a persistent source.")))) == 0.0
-    assert one(spark, X.work_key(F.lit("quinty"), F.lit("2003"), F.lit("Peatland Restoration Guide, second ed."))) == "quinty|2003|peatland restoration guide"
-    terms = one(spark, X.title_terms(F.lit("Restoration of the cutover peatlands: water table")))
-    assert "peatlands water" not in terms and "water table" in terms and "cutover peatlands" in terms
+    text = F.lit("Marsh, D. 1990. Inland waters: their part in the cycle. Field Notes 1: 5–6.")
+    assert one(spark, X.entry_title(text, F.lit("1990"))) == "Inland waters: their part in the cycle"
+    assert one(spark, X.title_overlap(X.title_words(F.lit("The Songs of Larks")), X.title_words(F.lit("Fox 2006. The songs oflarks.")))) == 1.0
+    assert one(spark, X.title_overlap(X.title_words(F.lit("Wind erosion")), X.title_words(F.lit("Walls without mortar.")))) == 0.0
+    assert one(spark, X.work_key(F.lit("hill"), F.lit("2005"), F.lit("Slopes That Move, second ed."))) == "hill|2005|slopes that move"
+    terms = one(spark, X.title_terms(F.lit("Sorting of river pebbles: grain size")))
+    assert "pebbles grain" not in terms and "grain size" in terms and "river pebbles" in terms
 
 
 def test_identifiers(spark):
-    assert one(spark, X.isbns_in(F.lit("10.1016/b978-0-12-823981-0.00012-5"))) == ["9780128239810"]
-    assert one(spark, X.isbns_in(F.lit("9781107015715, 9781139059152"))) == ["9781107015715", "9781139059152"]
-    assert one(spark, X.isbns_in(F.lit("10.1111/j.1654-1103.2003.tb02152.x"))) == []
-    assert one(spark, X.normalize_doi(F.lit(" https://doi.org/10.1/AbC "))) == "10.1/abc"
+    assert one(spark, X.isbns_in(F.lit("10.4242/b978-1-23-456789-7.00003-2"))) == ["9781234567897"]
+    assert one(spark, X.isbns_in(F.lit("978.1.23.456789.7, 9790000000001 978123"))) == ["9781234567897", "9790000000001"]
+    assert one(spark, X.isbns_in(F.lit("10.4242/j.9781-23.2003.x"))) == []
+    for raw in (" https://doi.org/10.1/AbC ", "doi.org/10.1/ABC", "dx.doi.org/10.1/abc", "https://doi.org/doi:10.1/Abc", "DOI: 10.1/abc"):
+        assert one(spark, X.normalize_doi(F.lit(raw))) == "10.1/abc"
 
 
 def test_names(spark):
-    assert one(spark, X.family_names(F.lit("Bourgeois, B., Vanasse, A., González, E., Poulin, M.-C."))) == ["Bourgeois", "Vanasse", "González", "Poulin"]
-    assert one(spark, X.initials(F.lit("Élisabeth Claire"))) == "É. C."
-    assert one(spark, X.initials(F.lit("Jean-Pierre"))) == "J.-P."
+    assert one(spark, X.family_names(F.lit("Oak, B., Elm, A., Muñoz, E., Fox, M.-C., WHO"))) == ["Oak", "Elm", "Muñoz", "Fox", "WHO"]
+    assert one(spark, X.initials(F.lit("Åsa Britt"))) == "Å. B."
+    assert one(spark, X.initials(F.lit("Karl-Otto"))) == "K.-O."
     assert one(spark, X.file_name(F.lit("(Smith: a/b, 2020)"))) == "Smith ab, 2020"
 
 
@@ -62,8 +63,8 @@ def test_groups(spark):
 
 
 def test_search(spark):
-    rows = [("v", "Price, 1999", "Peat hydrology", 0, 2), ("o", "Price, 2003", "Role of peat deformation", 1, 9), ("x", "Chapman, 2003", "Price of peat", 1, 99)]
+    rows = [("v", "Lark, 1999", "Morning songs", 0, 2), ("o", "Lark, 2003", "Echo of distant thunder", 1, 9), ("x", "Finch, 2003", "Lark in winter", 1, 99)]
     works = spark.createDataFrame(rows, "id string, label string, title string, depth int, cited_by int")
-    assert [r.id for r in P.search(works, "price").collect()] == ["v", "o", "x"]
-    assert [r.id for r in P.search(works, "role déformation").collect()] == ["o"]
+    assert [r.id for r in P.search(works, "lark").collect()] == ["v", "o", "x"]
+    assert [r.id for r in P.search(works, "echo thündér").collect()] == ["o"]
     assert P.search(works, "  ").count() == 0
