@@ -234,3 +234,12 @@ def property_value(properties: Column, key: str) -> Column:
     case only."""
     same = F.map_values(F.map_filter(properties, lambda k, v: F.lower(k) == key.lower()))
     return F.coalesce(F.try_element_at(properties, F.lit(key)), F.try_element_at(same, F.lit(1)))
+
+
+def runs(lines: Column, inside) -> Column:
+    """(first, last) of each run of consecutive lines for which inside holds, counted
+    from 0. One pass within a row: the lines outside are the bounds of the runs."""
+    outside = F.array_compact(F.transform(lines, lambda x, i: F.when(~F.coalesce(inside(x), F.lit(False)), i)))
+    bounds = F.concat(F.array(F.lit(-1)), outside, F.array(F.size(lines)))
+    both = F.zip_with(F.slice(bounds, F.lit(1), F.size(bounds) - 1), F.slice(bounds, F.lit(2), F.size(bounds) - 1), lambda a, b: F.struct((a + 1).alias("first"), (b - 1).alias("last")))
+    return F.filter(both, lambda r: r["first"] <= r["last"])

@@ -187,3 +187,33 @@ def unpacked(packed_: Column) -> Column:
     # the size goes along as the fold's result, so that the levels are read once
     scaled = lambda v: F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y * y)))
     return F.transform(F.array(levels), lambda v: F.when(F.exists(v, lambda x: x != 0), scaled(v)))[0]
+
+
+def with_keywords(text: Column, key: str, names: Column) -> tuple[Column, Column]:
+    """(text, status) of a note that gets keywords: status is kept where the note's
+    property holds some already, none where there are none to write, else written, and
+    then the text has them as a list under the property, in the case the note uses. A
+    note without frontmatter gets one. A null text is an empty one; a null list is none.
+
+    The frontmatter is what stands between a first line of --- and the next one."""
+    text = F.coalesce(text, F.lit(""))
+    end = F.locate("\n---", text, 4)
+    has = text.startswith("---\n") & (end > 0)
+    inner = F.when(end > 4, F.substring(text, F.lit(5), end - 5)).otherwise("")
+    lines = F.when(has & (inner != ""), F.split(inner, "\n", -1)).otherwise(F.array().cast("array<string>"))
+    at = F.array_position(F.transform(lines, lambda x: F.lower(F.regexp_extract(x, r"^([^\s:#-][^:]*?)\s*:", 1)) == key.lower()), True).cast("int")
+    line = F.when(at > 0, F.element_at(lines, F.when(at > 0, at).otherwise(1)))
+    after = F.when((at > 0) & (at < F.size(lines)), F.element_at(lines, F.when((at > 0) & (at < F.size(lines)), at + 1).otherwise(1)))
+    filled = ~line.rlike(r"^[^:]*:\s*(\[\s*\]|\"\s*\"|'\s*'|null|~)?\s*$") | F.coalesce(after.rlike(r"^\s*-\s+\S"), F.lit(False))
+    names = F.filter(F.coalesce(names, F.array().cast("array<string>")), lambda n: n.isNotNull() & (F.trim(n) != ""))
+    status = F.when(F.coalesce(filled, F.lit(False)), "kept").when(F.size(names) == 0, "none").otherwise("written")
+    plain = lambda n: n.rlike(r"^[\p{L}\p{N}][\p{L}\p{N} ._/()+-]*$") & ~n.rlike(r"(?i)^(true|false|null|yes|no|[0-9._+-]+)$|\s$")
+    escaped = lambda n: F.replace(F.replace(n, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    items = F.transform(names, lambda n: F.concat(F.lit("  - "), F.when(plain(n), n).otherwise(F.concat(F.lit('"'), escaped(n), F.lit('"')))))
+    own = F.coalesce(F.regexp_extract(line, r"^([^:]*?)\s*:", 1), F.lit(key))
+    block = F.concat(F.array(F.concat(own, F.lit(":"))), items)
+    before = F.when(at > 0, F.slice(lines, F.lit(1), F.greatest(at - 1, F.lit(0)))).otherwise(lines)
+    rest = F.when((at > 0) & (at < F.size(lines)), F.slice(lines, F.greatest(at + 1, F.lit(1)), F.size(lines))).otherwise(F.array().cast("array<string>"))
+    head = F.concat(F.lit("---\n"), F.array_join(F.concat(before, block, rest), "\n"))
+    tail = F.when(has, F.substring(text, end, F.length(text))).otherwise(F.concat(F.lit("\n---\n"), text))
+    return F.when(status == "written", F.concat(head, tail)).otherwise(text), status
