@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import ann, bpe, mixing, neardup, pii, quality, sharding, topk, toxicity, urlfilter, warc
+from quillgraph.llm import ann, bpe, merkle, mixing, neardup, pii, quality, sharding, topk, toxicity, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_bundle": warc.op1_warc_bundle,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": mixing.op8_source_mix,
     "op9_pii": pii.op9_pii,
     "op10_quality": quality.op10_quality,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "op13_virtual_slots": sharding.op13_virtual_slots,
 }
 
@@ -27,5 +28,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": urlfilter.ORACLE,
     "op6_top_k": topk.ORACLE,
     "op8_source_mix": mixing.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
     "op13_virtual_slots": sharding.ORACLE,
 }
