@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import ann, bpe, merkle, mixing, neardup, pii, quality, sharding, topk, toxicity, urlfilter, warc
+from quillgraph.llm import ann, bpe, codes, merkle, mixing, neardup, pii, quality, sharding, topk, toxicity, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_bundle": warc.op1_warc_bundle,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": pii.op9_pii,
     "op10_quality": quality.op10_quality,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_annular_codes": codes.op12_annular_codes,
     "op13_virtual_slots": sharding.op13_virtual_slots,
 }
 
@@ -29,5 +30,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_top_k": topk.ORACLE,
     "op8_source_mix": mixing.ORACLE,
     "op11_merkle_manifest": merkle.ORACLE,
+    "op12_annular_codes": codes.ORACLE,
     "op13_virtual_slots": sharding.ORACLE,
 }
