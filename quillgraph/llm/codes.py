@@ -6,7 +6,8 @@ entry of that position's codebook. Since | |q| - |e| | <= d(q, e), an entry can
 near as the best found if its norm lies within that distance of the part's own norm. So
 entries are sorted by norm, the two whose norms lie around the part's give a first distance,
 a binary search finds the interval of norms it allows, ends included, and only that annulus
-is evaluated, exactly, in whole numbers.
+is evaluated, exactly, in whole numbers; from the part's own norm outwards, so that nearer
+entries narrow it on the way.
 
 Codebooks have parts x entries x width / parts numbers, whatever the rows: they alone pass
 through the driver. Sums for the next codebook are added up in each task before the shuffle.
@@ -50,26 +51,43 @@ def nearest(parts: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndar
     squares = (entries * entries).sum(1)
     order = np.argsort(squares, kind="stable")
     ring, norms = entries[order], np.sqrt(squares[order].astype(np.float64))
-    n, codes, found, evaluated = len(parts), np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64), 0
+    codes, found, evaluated = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64), 0
     step = max(1, WORKING // max(1, entries.size))
-    for begin in range(0, n, step):
+    for begin in range(0, len(parts), step):
         x = parts[begin : begin + step]
         own = np.sqrt((x * x).sum(1).astype(np.float64))
-        above = np.searchsorted(norms, own)
-        around = np.stack([np.maximum(above - 1, 0), np.minimum(above, len(norms) - 1)], 1)
-        first = ((x[:, None, :] - ring[around]) ** 2).sum(2).min(1)
-        reach = np.sqrt(first.astype(np.float64))
-        reach += 1e-12 * (own + reach) + 1e-9  # rounding never narrows the annulus
-        low, high = np.searchsorted(norms, own - reach, "left"), np.searchsorted(norms, own + reach, "right")
-        sizes = high - low
-        starts = np.cumsum(sizes) - sizes
-        row = np.repeat(np.arange(len(x)), sizes)
-        at = np.arange(len(row)) - np.repeat(starts - low, sizes)
-        far = ((x[row] - ring[at]) ** 2).sum(1)
-        best = np.minimum.reduceat(far, starts)
-        codes[begin : begin + step] = np.minimum.reduceat(np.where(far == best[row], order[at], len(order)), starts)
-        found[begin : begin + step] = best
-        evaluated += around.size + len(row)
+        best, code = np.full(len(x), np.iinfo(np.int64).max), np.full(len(x), len(order))
+
+        def evaluate(low: np.ndarray, high: np.ndarray, x=x, best=best, code=code) -> int:
+            """Entries low to high of the ring, for each row exactly."""
+            some = np.flatnonzero(high > low)
+            sizes = (high - low)[some]
+            starts = np.cumsum(sizes) - sizes
+            row = np.repeat(some, sizes)
+            at = np.arange(len(row)) - np.repeat(starts - low[some], sizes)
+            far = ((x[row] - ring[at]) ** 2).sum(1)
+            if len(some):
+                least = np.minimum(np.minimum.reduceat(far, starts), best[some])
+                code[some] = np.where(least < best[some], len(order), code[some])
+                best[some] = least
+                code[some] = np.minimum(np.minimum.reduceat(np.where(far == best[row], order[at], len(order)), starts), code[some])
+            return len(row)
+
+        # what is evaluated grows outwards from the part's own norm, within what the best
+        # distance so far allows
+        low = np.clip(np.searchsorted(norms, own) - 1, 0, len(norms) - 1)
+        high, spread = np.minimum(low + 2, len(norms)), 2
+        evaluated += evaluate(low, high)
+        while True:
+            reach = np.sqrt(best.astype(np.float64))
+            reach += 1e-12 * (own + reach) + 1e-9  # rounding never narrows the annulus
+            first, last = np.searchsorted(norms, own - reach, "left"), np.searchsorted(norms, own + reach, "right")
+            if (low <= first).all() and (high >= last).all():
+                break
+            next_low, next_high = np.minimum(low, np.maximum(first, low - spread)), np.maximum(high, np.minimum(last, high + spread))
+            evaluated += evaluate(next_low, low) + evaluate(high, next_high)
+            low, high, spread = next_low, next_high, 2 * spread
+        codes[begin : begin + step], found[begin : begin + step] = code, best
     return codes, found, evaluated
 
 
