@@ -396,15 +396,14 @@ def near_classes(members: DataFrame, slim: DataFrame, docs: DataFrame, *, simila
     return classes if classes is not None else docs.sparkSession.createDataFrame([], "rep long, least long")
 
 
-def classify(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, class_id): the least doc_id of each document's
-    class of exact and near copies.
+def _once_each(docs: DataFrame) -> bool:
+    """Whether every row has its own doc_id; only ids are read."""
+    n = docs.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("ids")).first()
+    return n.n == n.ids
 
-    Texts are equal if all characters are. Texts with the same words in the same order
-    are near copies of similarity 1; texts without words are only copies of their
-    equals. A null text is its own class, the row's doc_id; repeated rows share a class,
-    and rows that repeat a doc_id with other texts are taken as one document; a null
-    doc_id gets the class of its text's others, or null."""
+
+def _classify(docs: DataFrame, similarity: float) -> DataFrame:
+    """classify() for doc_ids that are each one row's."""
     slim = written(sketches(docs), "neardup-sketches")
     copies = slim.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
     copies = written(copies, "neardup-copies")
@@ -416,14 +415,46 @@ def classify(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
     return whole.unionByName(slim.where("key is null").select("doc_id", F.col("doc_id").alias("class_id")))
 
 
+def _classified_rows(docs: DataFrame, similarity: float) -> DataFrame:
+    """(doc struct, row, class_row): every row numbered, and the class of its number."""
+    rows = written(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.monotonically_increasing_id().alias("row")), "neardup-rows")
+    found = _classify(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")), similarity)
+    return rows.join(written(found, "neardup-row-classes").select(F.col("doc_id").alias("row"), F.col("class_id").alias("class_row")), "row")
+
+
+def classify(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
+    """docs(doc_id, text) -> (doc_id, class_id): the least doc_id of each document's
+    class of exact and near copies.
+
+    Texts are equal if all characters are. Texts with the same words in the same order
+    are near copies of similarity 1; texts without words are only copies of their
+    equals. A null text is its own class, the row's doc_id; repeated rows share a class;
+    rows that repeat a doc_id with other texts are documents of their own, each in its
+    text's class; a null doc_id gets the class of its text's others, or null."""
+    docs = docs.select("doc_id", "text")
+    if _once_each(docs):
+        return _classify(docs, similarity)
+    both = written(_classified_rows(docs, similarity).select("doc.doc_id", "class_row"), "neardup-both")
+    least = both.groupBy("class_row").agg(F.min("doc_id").alias("class_id"))
+    return both.join(least, "class_row").select("doc_id", "class_id")
+
+
 def keep_one(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents, one of each class: the row with the class's least doc_id. Rows
-    with null doc_id stay; of repeated rows of a doc_id one stays."""
-    chosen = classify(docs.select("doc_id", "text"), similarity=similarity).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """The documents, one of each class: the row with the class's least doc_id, the first of
+    several equal ones. Rows with null doc_id stay; a doc_id repeated with other texts
+    stays once for each of their classes."""
+    if _once_each(docs):
+        chosen = _classify(docs.select("doc_id", "text"), similarity).where("doc_id = class_id").select("doc_id")
+        return docs.join(chosen, "doc_id", "left_semi")
+    rows = written(_classified_rows(docs, similarity), "neardup-classified")
+    first = rows.where("doc.doc_id is not null").groupBy("class_row").agg(F.min(F.struct(F.col("doc.doc_id").alias("d"), F.sha2(F.coalesce("doc.text", F.lit("")), 256).alias("h"), F.col("row").alias("r"))).alias("one")).select(F.col("one.r").alias("row"))
+    kept = rows.where("doc.doc_id is not null").join(first, "row", "left_semi").unionByName(rows.where("doc.doc_id is null"))
+    return kept.select(*(F.col(f"doc.`{c}`").alias(c) for c in docs.columns))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's class of exact and near copies over five-word shingles."""
+    """Each document's class of exact and near copies over five-word shingles: a row for
+    each row. Null and empty texts, repeated rows and ids are as classify() says; other
+    columns are ignored; an empty table gives no rows."""
     small_batches(spark)
     return classify(table(spark, sf_dir, "documents"))

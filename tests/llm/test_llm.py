@@ -450,6 +450,19 @@ def test_near_dedup_of_nothing(spark):
     assert neardup.classify(empty).count() == 0
 
 
+def test_repeated_ids_keep_their_texts(spark):
+    """Rows that repeat a doc_id with other texts are documents of their own."""
+    a, b = " ".join(f"word{i}" for i in range(60)), " ".join(f"other{i}" for i in range(60))
+    rows = [(1, a), (1, b), (2, a), (3, b + " more"), (1, a), (None, a), (4, None), (4, None)]
+    docs = docs_of(spark, [t for _, t in rows]).withColumnRenamed("doc_id", "row")
+    ids = spark.createDataFrame([(i, d) for i, (d, _) in enumerate(rows)], "row long, doc_id long")
+    docs = docs.join(ids, "row")
+    got = sorted(((r.doc_id, r.class_id) for r in neardup.classify(docs).collect()), key=str)
+    assert got == sorted([(1, 1), (1, 1), (2, 1), (3, 1), (1, 1), (None, 1), (4, 4), (4, 4)], key=str)
+    kept = sorted(((r.doc_id, r.text) for r in neardup.keep_one(docs).collect()), key=str)
+    assert kept == sorted([(1, a), (1, b), (None, a), (4, None), (4, None)], key=str)
+
+
 # ---------------------------------------------------------------- 8 mixing
 
 
