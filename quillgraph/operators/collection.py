@@ -74,9 +74,9 @@ class Index:
     owners: DataFrame = field(repr=False)
 
 
-def own_works(vault: DataFrame, s: Settings) -> DataFrame:
+def own_works(vault: DataFrame, s: Settings, *more: str) -> DataFrame:
     """(path, basename, ord, literature, doi, isbns, authors, year, title, titles,
-    keywords, label) of notes(path, basename, text, properties)."""
+    keywords, label) of notes(path, basename, text, properties), and `more` of their columns."""
     p = lambda key: X.property_value(F.col("properties"), key)
     title = F.trim(F.coalesce(p(s.title), F.lit("")))
     described = F.size("properties") > 0
@@ -86,7 +86,7 @@ def own_works(vault: DataFrame, s: Settings) -> DataFrame:
         F.when(described, W.author_keys(p(s.authors))).otherwise(F.array().cast("array<string>")).alias("authors"), F.trim(F.coalesce(p(s.year), F.lit(""))).alias("year"),
         F.coalesce(p(s.title), "basename").alias("title"), F.filter(F.concat(F.array(title), W.listed(p(s.aliases))), lambda t: t != "").alias("titles"),
         W.listed(p(s.keywords)).alias("keywords"),
-        W.citation_text(p(s.citation_text), p(s.authors), p(s.year), F.col("basename"), language=s.language, by_name=s.note_name_as_citation).alias("label"),
+        W.citation_text(p(s.citation_text), p(s.authors), p(s.year), F.col("basename"), language=s.language, by_name=s.note_name_as_citation).alias("label"), *more,
     )
 
 
