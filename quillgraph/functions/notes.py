@@ -300,6 +300,20 @@ def without_lines(text: str, entry_lines: list[int]) -> str:
     return "\n".join(x for i, x in enumerate(lines) if i not in drop)
 
 
+_ITEM = re.compile(r"""\s*("(?:[^"\\]|\\.)*"|'(?:[^']|'')*'|[^,]*)\s*(?:,|$)""")
+
+
+def scalar(text: str) -> str:
+    """A YAML scalar as text: in double quotes a backslash takes the next character as it
+    is, in single ones a doubled quote is one."""
+    text = text.strip()
+    if len(text) > 1 and text[0] == text[-1] == '"':
+        return re.sub(r"\\(.)", r"\1", text[1:-1])
+    if len(text) > 1 and text[0] == text[-1] == "'":
+        return text[1:-1].replace("''", "'")
+    return text
+
+
 def frontmatter(text: str) -> tuple[dict[str, object], str]:
     """(properties, body): a line-based subset of YAML: scalars and lists."""
     if not text.startswith("---\n") or (end := text.find("\n---", 3)) < 0:
@@ -309,13 +323,13 @@ def frontmatter(text: str) -> tuple[dict[str, object], str]:
     for line in text[4:end].split("\n"):
         if m := re.match(r"\s*-\s+(.*)$", line):
             if key is not None:
-                out[key] = [*(out[key] if isinstance(out[key], list) else []), m[1].strip().strip("\"'")]
+                out[key] = [*(out[key] if isinstance(out[key], list) else []), scalar(m[1])]
         elif m := re.match(r"([^\s:][^:]*):\s*(.*)$", line):
             key, value = m[1].strip(), m[2].strip()
             if value.startswith("[") and value.endswith("]"):
-                out[key] = [x.strip().strip("\"'") for x in value[1:-1].split(",") if x.strip()]
+                out[key] = [scalar(m[1]) for m in _ITEM.finditer(value[1:-1]) if m[1].strip()]
             else:
-                out[key] = value.strip("\"'") or None
+                out[key] = scalar(value) or None
     return out, text[end + 4 :].lstrip("\n")
 
 

@@ -1,46 +1,111 @@
-"""Golden cases of graph, ranking, resolution and meaning operators."""
+"""Graph, ranking, resolution and meaning operators against plain versions."""
 
 import math
+import random
+import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.operators import communities, graph, meaning, ranking, resolve
 from quillgraph.streaming import incremental as S
 
 
-def ranked(spark):
-    nodes = spark.createDataFrame([(x, 0, x) for x in "ABC"] + [(x, 1, x) for x in "XYZWV"], "id string, depth int, title string")
-    edges = spark.createDataFrame([("A", "X"), ("B", "X"), ("C", "X"), ("A", "Y"), ("B", "Y"), ("A", "Z"), ("A", "B"), ("X", "V"), ("Y", "V"), ("W", "A"), ("W", "B")], "source string, target string")
-    info = spark.createDataFrame([("W", 2024, 3), ("Z", 1990, 5000)], "id string, year int, cited_by_count long")
-    return ranking.ranked(ranking.suggestions(nodes, edges, info, 2026), 10, "vault_citers")
-
-
-def test_suggestions(spark):
-    rows = ranked(spark).orderBy("rank").collect()
-    assert [(r.id, r.score) for r in rows] == [("X", 3.5), ("Y", 2.5), ("Z", 1.68), ("W", 1.22), ("V", 0.2)]
-    assert [(r.co_cited, r.core_size) for r in rows] == [(1, 1), (1, 1), (2, 2), (0, 2), (0, 2)]
-
-
-def test_reasons(spark):
-    z = ranked(spark).where("id = 'Z'").select(ranking.reasons().alias("why")).first().why
-    assert z == ["Cited by 1 work of your vault", "Cited along with 2 of the 2 works your vault cites most (cited by several of its works)", "Published in 1990", "Cited 5000 times in all (OpenAlex)"]
-
-
-def test_citing_works(spark):
-    works = spark.createDataFrame([("W1", 1, 2025, 900), ("W2", 3, 1999, 0), ("W3", 2, None, None), ("W4", 1, 2026, 0)], "id string, cites int, year int, cited_by_count long")
-    rows = ranking.ranked(ranking.rank_citing(works, 2026), 9, "cites").orderBy("rank").collect()
-    assert [(r.id, r.score) for r in rows] == [("W2", 3.02), ("W3", 2.0), ("W1", 1.34), ("W4", 1.2)]
+def literature(seed, own=12, outside=30, edges=170):
+    """A random graph of works of a collection (v...) and others (w...)."""
+    rng = random.Random(seed)
+    vault, others = [f"v{i:02}" for i in range(own)], [f"w{i:02}" for i in range(outside)]
+    pairs = set()
+    while len(pairs) < edges:
+        a, b = rng.choice(vault if rng.random() < 0.8 else others), rng.choice(others if rng.random() < 0.8 else vault)
+        if a != b:
+            pairs.add((a, b))
+    info = {w: (rng.choice([None, 1955, 1999, 2020, 2031]), rng.choice([None, 0, 9, 123, 98765])) for w in others if rng.random() < 0.7}
+    return vault, others, sorted(pairs), info
+
+
+def bonus_of(year, cited, now):
+    recent = 0 if year is None else 0.2 * min(1, max(0, 1 - (now - year) / 30))
+    return recent + 0.2 * min(1, math.log10(1 + (cited or 0)) / 4)
+
+
+def scores_by_hand(vault, others, pairs, info, now):
+    """A point for each citing work of the collection, half for each it cites, a tenth for
+    each other citing work (one at most), half the share of the core it is cited with."""
+    cited_by = {w: {a for a, b in pairs if b == w and a in vault} for w in others}
+    core = {w for w, c in cited_by.items() if len(c) > 1}
+    out = {}
+    for w in others:
+        with_it = {x for x in core - {w} if cited_by[x] & cited_by[w]}
+        most = len(core - {w})
+        score = len(cited_by[w]) + 0.5 * sum(a == w and b in vault for a, b in pairs) + min(1, 0.1 * sum(b == w and a in others for a, b in pairs))
+        out[w] = score + (0.5 * len(with_it) / most if most else 0) + bonus_of(*info.get(w, (None, None)), now), len(with_it)
+    return out
+
+
+def rated(spark, vault, others, pairs, info, now=2026):
+    nodes = spark.createDataFrame([(x, 0, x) for x in vault] + [(x, 1, x) for x in others], "id string, depth int, title string")
+    edges = spark.createDataFrame(pairs, "source string, target string")
+    return ranking.suggestions(nodes, edges, spark.createDataFrame([(k, *v) for k, v in info.items()], "id string, year int, cited_by_count long"), now)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_suggestions_score_as_by_hand(spark, seed):
+    graph_ = literature(seed)
+    rows = ranking.ranked(rated(spark, *graph_), 20, "vault_citers").orderBy("rank").collect()
+    want = scores_by_hand(*graph_, 2026)
+    assert len(rows) == 20 and [r["rank"] for r in rows] == list(range(1, 21))
+    for r in rows:
+        assert abs(r.score - want[r.id][0]) <= 0.00501 and r.co_cited == want[r.id][1]
+    assert [r.score for r in rows] == sorted((r.score for r in rows), reverse=True)
+    assert min(r.score for r in rows) >= sorted((s for s, _ in want.values()), reverse=True)[19] - 0.01
+
+
+def test_reasons_say_what_counts_and_no_more(spark):
+    graph_ = literature(3)
+    info = graph_[3]
+    for r in rated(spark, *graph_).withColumn("why", ranking.reasons()).collect():
+        year, cited = info.get(r.id, (None, None))
+        parts = [r.vault_citers, r.cites_vault, r.outside_citers, r.co_cited]
+        assert len(r.why) == sum(p > 0 for p in parts) + (year is not None) + (cited is not None)
+        numbers = [[int(x) for x in re.findall(r"\d+", line)] for line in r.why]
+        assert [n[0] for n in numbers[: sum(p > 0 for p in parts)]] == [p for p in parts if p > 0]
+        assert not any("1 works" in line or " 1 others" in line for line in r.why)
+
+
+def test_citing_works_go_by_what_they_cite_then_by_bonus(spark):
+    rng = random.Random(5)
+    rows = [(f"c{i:02}", rng.randint(1, 4), rng.choice([None, 1970, 2005, 2026]), rng.choice([None, 0, 50, 10**6])) for i in range(40)]
+    works = spark.createDataFrame(rows, "id string, cites int, year int, cited_by_count long")
+    got = ranking.ranked(ranking.rank_citing(works, 2026), 40, "cites").orderBy("rank").collect()
+    want = {i: n + bonus_of(y, c, 2026) for i, n, y, c in rows}
+    assert all(abs(r.score - want[r.id]) <= 0.00501 for r in got)
+    assert [(-r.score, -r.cites, r.id) for r in got] == sorted((-r.score, -r.cites, r.id) for r in got)
 
 
 def test_half_up_on_the_double(spark):
     assert spark.range(1).select(ranking.round_half_up(F.lit(1.005).cast("double")).alias("x")).first().x == 1.0
 
 
-def test_duplicates(spark):
-    rows = [("A", 1, "10.1/X", "smith", "2001", "Peat hydrology"), ("A copy", 2, "10.1/x", "smith", "2001", "Peat hydrology"), ("B", 3, None, "doe", "1999", "Carbon balance of bogs"), ("B (2)", 4, None, "doe", "1999", "Carbon balance of bogs"), ("C", 5, None, "doe", "1999", "Methane fluxes"), ("D", 6, "10.2/a", "doe", "1999", "Methane fluxes measured")]
+def test_duplicates_share_a_doi_or_author_year_and_title(spark):
+    """Pairs planted among works that differ in one of the three."""
+    rng = random.Random(6)
+    rows, planted = [], []
+    for i in range(30):
+        author, year, title = f"family{i % 5}", str(1980 + i % 3), " ".join("".join(rng.choices("bcdfglmnprst", k=7)) for _ in range(5))
+        doi = f"10.7777/k{i}" if i % 2 else None
+        rows.append((f"{i:02} first", 2 * i, doi, author, year, title))
+        if i % 6 == 1:  # the same DOI, another title
+            rows.append((f"{i:02} second", 2 * i + 1, doi.upper(), "someone", "1900", "Wholly other words here"))
+            planted.append(([f"{i:02} first", f"{i:02} second"], "doi"))
+        elif i % 6 == 2:  # no DOI, the same description
+            rows.append((f"{i:02} second", 2 * i + 1, None, author, year, title))
+            planted.append(([f"{i:02} first", f"{i:02} second"], "title"))
+        elif i % 6 == 4:  # another year: no copy
+            rows.append((f"{i:02} second", 2 * i + 1, None, author, "1979", title))
     works = spark.createDataFrame(rows, "path string, ord int, doi string, first_author string, year string, title string")
-    assert sorted((r.paths, r.reason) for r in resolve.duplicate_groups(works).collect()) == [(["A", "A copy"], "doi"), (["B", "B (2)"], "title")]
+    assert sorted((r.paths, r.reason) for r in resolve.duplicate_groups(works).collect()) == sorted(planted)
 
 
 def test_resolution_traps(spark):
@@ -61,11 +126,19 @@ def test_local_graph_and_isolated(spark):
     assert {r.id for r in graph.without_isolated(nodes, edges, "z").collect()} == {"a", "z"}
 
 
-def test_louvain_two_cliques():
-    edges = [(i, j) for s in (0, 10) for i in range(s, s + 10) for j in range(i)  if j >= s] + [(0, 10)]
-    got = communities.louvain(edges, 20)
-    assert len(set(got[:10])) == 1 and len(set(got[10:])) == 1 and got[0] != got[10]
-    assert sorted(communities.louvain([], 3)) == [0, 1, 2]
+def test_sequential_louvain_beats_any_single_move():
+    rng = random.Random(7)
+    n = 40
+    edges = [(a, b) for a in range(n) for b in range(a) if rng.random() < (0.6 if a % 4 == b % 4 else 0.03)]
+    got = communities.louvain(edges, n)
+
+    def value(own):
+        degree = [sum(i in e for e in edges) for i in range(n)]
+        return sum(own[a] == own[b] for a, b in edges) / len(edges) - sum(sum(d for d, c in zip(degree, own) if c == k) ** 2 for k in set(own)) / (2 * len(edges)) ** 2
+
+    best = value(got)
+    assert all({got[j] for j in range(i, n, 4)} == {got[i]} for i in range(4)) and len(set(got)) == 4
+    assert all(value([*got[:i], c, *got[i + 1 :]]) <= best + 1e-12 for i in range(n) for c in set(got))
 
 
 def test_knn_plane_is_exact(spark):
@@ -79,11 +152,18 @@ def test_knn_plane_is_exact(spark):
     assert len(got) == 1200 and max(abs(got[i, k + 1] - want[i, k]) for i in range(300) for k in range(4)) < 1e-12
 
 
-def test_blend_and_align(spark):
-    own = spark.createDataFrame([(1, [1.0, 0.0, 0.0])], "id int, v array<double>")
-    near = spark.createDataFrame([(1, [0.0, 1.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [0.0, 2.0, 0.0])], "id int, v array<double>")
-    got = {r.id: r.v for r in meaning.blend_neighbours(own, near).collect()}
-    assert math.isclose(got[1][0], got[1][1]) and got[2] == [0.0, 1.0, 0.0]
+def test_blends_are_of_unit_length_and_between(spark):
+    rng = np.random.default_rng(9)
+    own, near = rng.normal(size=(6, 5)), rng.normal(size=(6, 3, 5))
+    own /= np.linalg.norm(own, axis=1, keepdims=True)
+    a = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(own) if i != 5], "id int, v array<double>")
+    b = spark.createDataFrame([(i, v.tolist()) for i, vs in enumerate(near) for v in vs if i != 4], "id int, v array<double>")
+    for weight in (1.0, 2.0):
+        got = {r.id: np.array(r.v) for r in meaning.blend_neighbours(a, b, weight).collect()}
+        for i in range(6):
+            mean = near[i].mean(0) / np.linalg.norm(near[i].mean(0))
+            want = own[i] if i == 4 else mean if i == 5 else own[i] + weight * mean
+            assert np.allclose(got[i], want / np.linalg.norm(want))
 
 
 def test_spanning_tree(spark):
