@@ -276,42 +276,3 @@ def latent_vectors(weights: DataFrame, dims: int = 64, *, rounds: int = 5, seed:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "v": out})
 
     return docs.mapInPandas(project, "doc_id long, v array<double>")
-
-
-def spanning_tree(edges: DataFrame, *, parts: int = 16) -> DataFrame:
-    """(a, b, similarity): a maximum spanning forest of edges(a, b, similarity), ties by
-    (a, b).
-
-    A forest of a part's edges keeps all that the whole forest needs, so parts are
-    thinned to forests, merged by fours, and thinned again. A task holds one forest
-    (fewer edges than there are works) and one batch."""
-    import pandas as pd
-
-    def thin(batches):
-        kept = pd.DataFrame({"a": [], "b": [], "similarity": []})
-        for pdf in batches:
-            rows = pd.concat([kept, pdf]) if len(kept) else pdf
-            rows = rows.sort_values(["similarity", "a", "b"], ascending=[False, True, True]).reset_index(drop=True)
-            root: dict[int, int] = {}
-
-            def find(x: int) -> int:
-                while (up := root.setdefault(x, x)) != x:
-                    root[x] = root.setdefault(up, up)
-                    x = root[x]
-                return x
-
-            keep = []
-            for i, (a, b) in enumerate(zip(rows["a"], rows["b"])):
-                u, v = find(a), find(b)
-                if u != v:
-                    root[u] = v
-                    keep.append(i)
-            kept = rows.iloc[keep]
-        if len(kept):
-            yield kept
-
-    forest = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
-    while parts >= 1:
-        forest = forest.repartition(parts).mapInPandas(thin, "a long, b long, similarity double")
-        parts //= 4
-    return forest

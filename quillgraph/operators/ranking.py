@@ -83,15 +83,42 @@ def reasons() -> Column:
     return F.filter(lines, lambda x: x.isNotNull())
 
 
-def export_lines(rows: DataFrame) -> DataFrame:
-    """(rank, line): the export's JSON lines; an empty title is null."""
-    record = F.struct("rank", "id", F.when(F.col("title") != "", F.col("title")).alias("title"), "year", "score", "vault_citers", "cites_vault", "outside_citers", "co_cited", "core_size", "cited_by_count", reasons().alias("why"))
-    return rows.select("rank", F.to_json(record, {"ignoreNullFields": "false"}).alias("line"))
+#: An export's fields, in their order.
+FIELDS = ("rank", "score", "label", "title", "authors", "year", "doi", "openalex_id", "reference", "cited_by_vault", "cites_vault", "co_cited", "core_size", "cited_by_count", "why")
 
 
-def write_export(rows: DataFrame, path: str, meta: dict) -> None:
-    """One text file: a meta line, then a JSON line for each suggestion, in order."""
+def export_records(rows: DataFrame, nodes: DataFrame, edges: DataFrame, works: DataFrame | None = None) -> DataFrame:
+    """The 15 fields of ranked suggestions. nodes(id, depth) and edges(source, target) name
+    the works of the collection that cite each and that each cites; works(id, label, authors,
+    doi, openalex_id, reference) say what is known of them. Lists are of the suggestions
+    ranked alone, and of the collection's works."""
+    own = nodes.where("depth = 0").select(F.col("id").alias("other"))
+    asked = rows.select("id")
+
+    def named(end: str, other: str, name: str) -> DataFrame:
+        pairs = edges.select(F.col(end).alias("id"), F.col(other).alias("other")).join(asked, "id", "left_semi").join(own, "other", "left_semi")
+        return pairs.groupBy("id").agg(F.sort_array(F.collect_set("other")).alias(name))
+
+    none = F.array().cast("array<string>")
+    both = rows.join(named("target", "source", "cited_by_vault"), "id", "left").join(named("source", "target", "cites_vault_paths"), "id", "left")
+    if works is not None:
+        both = both.join(works.select("id", "label", "authors", "doi", "openalex_id", "reference"), "id", "left")
+    missing = {c: F.lit(None).cast("string") for c in ("label", "doi", "openalex_id", "reference") if c not in both.columns} | ({} if "authors" in both.columns else {"authors": none})
+    both = both.withColumns(missing | {"why": reasons()}).withColumns({"cites_vault": F.coalesce("cites_vault_paths", none), "cited_by_vault": F.coalesce("cited_by_vault", none), "authors": F.coalesce("authors", none), "title": F.when(F.col("title") != "", F.col("title"))})
+    return both.select(*FIELDS)
+
+
+def export_lines(records: DataFrame) -> DataFrame:
+    """(rank, line): JSON lines of the records, nulls included."""
+    return records.select("rank", F.to_json(F.struct(*FIELDS), {"ignoreNullFields": "false"}).alias("line"))
+
+
+def write_export(records: DataFrame, path: str, meta: dict) -> None:
+    """One text file: a meta line, then a line for each record in order. It is there as a
+    whole or, if anything fails before, as it was."""
     import json
 
-    head = rows.sparkSession.createDataFrame([(0, json.dumps({"_meta": meta}))], "rank int, line string")
-    head.union(export_lines(rows)).coalesce(1).sortWithinPartitions("rank").select("line").write.mode("overwrite").text(path)
+    from quillgraph.sources.sinks import publish_lines
+
+    head = records.sparkSession.createDataFrame([(0, json.dumps({"_meta": True, **meta}))], "rank int, line string")
+    publish_lines(head.union(export_lines(records)), "rank", "line", path)

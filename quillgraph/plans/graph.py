@@ -141,9 +141,25 @@ def suggestion_reasons(s, d):
     return suggested(s, d).select("id", F.array_join(ranking.reasons(), "\n").alias("why"))
 
 
+def suggestion_rows(s, d):
+    works = T.nodes(s, d).where("depth > 0").select("id", F.col("title").alias("label"), F.col("keywords").alias("authors"), F.lit(None).cast("string").alias("doi"), F.col("id").alias("openalex_id"), F.lit(None).cast("string").alias("reference"))
+    return ranking.export_records(suggested(s, d), T.nodes(s, d), edges(s, d), works)
+
+
 @query("suggestion_export")
 def suggestion_export(s, d):
-    return ranking.export_lines(suggested(s, d))
+    return ranking.export_lines(suggestion_rows(s, d))
+
+
+@query(
+    "suggestion_records",
+    _SUGGEST
+    + """SELECT rank, id AS openalex_id, p_name AS label, p_name AS title, p_brand || '|' || p_type AS authors, score, co_cited, core_size, (SELECT string_agg(source, '|' ORDER BY source) FROM edges e WHERE e.target = k.id) AS cited_by_vault, '' AS cites_vault
+ FROM k JOIN part ON 'P' || p_partkey = id WHERE rank <= 1000""",
+)
+def suggestion_records(s, d):
+    lists = [F.array_join(c, "|").alias(c) for c in ("authors", "cited_by_vault", "cites_vault")]
+    return suggestion_rows(s, d).select("rank", "openalex_id", "label", "title", "score", "co_cited", "core_size", *lists)
 
 
 @query("citing_works_rank", f"WITH c AS ({_CITING}), w AS (SELECT source AS id, count(*)::BIGINT AS cites FROM c GROUP BY 1), i AS (SELECT 'C' || o_custkey AS id, max(year(o_orderdate))::BIGINT AS year, count(*)::BIGINT AS cited_by_count FROM orders GROUP BY 1), s AS (SELECT *, floor((cites + ({BONUS})) * 100 + 0.5) / 100 AS score FROM w JOIN i USING (id)) SELECT row_number() OVER (ORDER BY score DESC, cites DESC, id)::BIGINT AS rank, id, cites, year, cited_by_count, score FROM s QUALIFY rank <= 200")

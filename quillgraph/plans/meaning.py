@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillgraph.functions import geometry as G
+from quillgraph.operators import components as C
 from quillgraph.operators import meaning as M
 from quillgraph.operators.order import numbered
-from quillgraph.plans.base import query, rounded
+from quillgraph.plans.base import CITE, query, rounded
 from quillgraph.sources import tables as T
 
 DOT = "list_dot_product(a.v, b.v)"
@@ -190,10 +191,24 @@ def region_topic(s, d):
     return M.region_topics(k, coverage=0.1, lift=1.0).select("grp", "topic", rounded(F.col("score")).alias("score"))
 
 
-@query("spanning_tree_weight")
+#: Edges one by one, best first: one is of the forest if its ends have other labels still.
+_FOREST = f"""WITH RECURSIVE {_KNN}, pairs AS (
+  SELECT least(id, neighbour) AS a, greatest(id, neighbour) AS b, max(floor(similarity * 1e9::DOUBLE + 0.5) / 1e9::DOUBLE) AS s FROM k WHERE rank <= 10 GROUP BY 1, 2
+), places AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS i FROM v), ordered AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY s DESC, a, b) AS n, a, b, s, p.i AS x, q.i AS y FROM pairs JOIN places p ON p.id = a JOIN places q ON q.id = b
+), fold (n, labels, taken) AS (
+  SELECT 0::BIGINT, list(i ORDER BY i), false FROM places
+  UNION ALL
+  SELECT o.n, CASE WHEN labels[x] <> labels[y] THEN list_transform(labels, lambda l: CASE WHEN l = labels[y] THEN labels[x] ELSE l END) ELSE labels END, labels[x] <> labels[y]
+  FROM fold JOIN ordered o ON o.n = fold.n + 1
+) SELECT a, b, s AS similarity FROM fold JOIN ordered USING (n) WHERE taken"""
+
+
+@query("spanning_tree_weight", _FOREST)
 def spanning_tree_weight(s, d):
+    """The maximum spanning forest of each vector's ten nearest."""
     near = M.knn_cosine(vectors(s, d).select("id", "v"), 10)
-    return M.spanning_tree(near.select(F.col("id").alias("a"), F.col("neighbour").alias("b"), "similarity"))
+    return C.spanning_forest(near.select(F.col("id").alias("a"), F.col("neighbour").alias("b"), rounded(F.col("similarity"), 9).alias("similarity")))
 
 
 @query("spanning_tree_shape", "SELECT n_nationkey AS a, n_nationkey + 1 AS b FROM nation WHERE n_nationkey % 5 <> 4")
@@ -201,7 +216,7 @@ def spanning_tree_shape(s, d):
     """Of complete graphs of five nations, whose similarity falls with their distance, the path stays."""
     n = T.read(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
     edges = n.select(F.col("k").alias("a")).join(n.select(F.col("k").alias("b")), (F.floor(F.col("a") / 5) == F.floor(F.col("b") / 5)) & (F.col("a") < F.col("b")))
-    return M.spanning_tree(edges.withColumn("similarity", (1.0 / (F.col("b") - F.col("a"))).cast("double"))).select("a", "b")
+    return C.spanning_forest(edges.withColumn("similarity", (1.0 / (F.col("b") - F.col("a"))).cast("double"))).select("a", "b")
 
 
 @query("lsa_groups")
@@ -250,11 +265,24 @@ def communities(s, d):
     return label_propagation(edges(s, d).select("source", "target"))
 
 
-@query("atoms")
+#: Shared works one by one, in order, with the atoms' sizes so far.
+_ATOMS = f"""WITH RECURSIVE {CITE}, few AS MATERIALIZED (SELECT target, count(*) AS n, min(source) AS one FROM edges GROUP BY 1), nuclei AS MATERIALIZED (
+  SELECT source, row_number() OVER (ORDER BY source) AS i FROM (SELECT DISTINCT source FROM edges)
+), shared AS MATERIALIZED (
+  SELECT target, row_number() OVER (ORDER BY target) AS k, list(i ORDER BY i) AS c FROM edges JOIN few USING (target) JOIN nuclei USING (source) WHERE n > 1 GROUP BY target
+), fold (k, sizes, id, pick) AS (
+  SELECT 0::BIGINT, list(coalesce(n, 0)::BIGINT ORDER BY i), NULL::VARCHAR, NULL::BIGINT FROM nuclei LEFT JOIN (SELECT one AS source, count(*) AS n FROM few WHERE n = 1 GROUP BY 1) USING (source)
+  UNION ALL
+  SELECT k, list_transform(sizes, lambda x, p: x + (p = best)::BIGINT), target, best
+  FROM (SELECT s.k, sizes, target, list_min(list_transform(c, lambda i: sizes[i] * 1000000 + i)) % 1000000 AS best FROM fold f JOIN shared s ON s.k = f.k + 1)
+) SELECT target AS id, one AS nucleus, false AS shared FROM few WHERE n = 1 UNION ALL SELECT id, source, true FROM fold JOIN nuclei ON i = pick"""
+
+
+@query("atoms", _ATOMS)
 def atoms(s, d):
     from quillgraph.operators.communities import atoms as place_atoms
     from quillgraph.plans.graph import edges
 
-    return place_atoms(edges(s, d).select("source", "target"))
+    return place_atoms(edges(s, d).select("source", "target"), T.nodes(s, d))
 
 

@@ -166,10 +166,52 @@ def test_blends_are_of_unit_length_and_between(spark):
             assert np.allclose(got[i], want / np.linalg.norm(want))
 
 
-def test_spanning_tree(spark):
-    rows = [(0, 1, 0.9), (1, 2, 0.8), (0, 2, 0.7), (3, 4, 0.95), (2, 3, 0.1)]
-    got = meaning.spanning_tree(spark.createDataFrame(rows, "a long, b long, similarity double")).collect()
-    assert {(r.a, r.b) for r in got} == {(0, 1), (1, 2), (3, 4), (2, 3)}
+def test_spanning_forests_are_kruskals(spark):
+    """With ties, loops, repeated and turned edges, and several components."""
+    from quillgraph.operators.components import components, spanning_forest
+
+    rng = random.Random(11)
+    rows = [(rng.randrange(40), rng.randrange(40), rng.choice([0.1, 0.5, 0.5, 0.9, rng.random()])) for _ in range(150)] + [(100 + i, 101 + i, 0.3) for i in range(9)]
+    best = {}
+    for a, b, s in rows:
+        if a != b:
+            best[min(a, b), max(a, b)] = max(s, best.get((min(a, b), max(a, b)), 0))
+    label = {x: x for e in best for x in e}
+    want = set()
+    for (a, b), s in sorted(best.items(), key=lambda e: (-e[1], e[0])):
+        if label[a] != label[b]:
+            want.add((a, b, s))
+            gone, stays = max(label[a], label[b]), min(label[a], label[b])
+            label = {x: stays if y == gone else y for x, y in label.items()}
+    edges = spark.createDataFrame(rows, "a long, b long, similarity double")
+    assert {(r.a, r.b, r.similarity) for r in spanning_forest(edges).collect()} == want
+    assert {r.id: r.component for r in components(edges).collect()} == {x: label.get(x, x) for e in rows for x in e[:2]}
+    assert spanning_forest(edges.limit(0)).count() == 0
+
+
+def atoms_by_hand(nodes, pairs):
+    """One work after the other, as the operator's text says."""
+    own = {i for i, d in nodes if d == 0}
+    nucleus, size = {}, {i: 0 for i in own}
+    for d in (1, 2):
+        of = {i: {nucleus.get(a, a if a in own else None) for a, b in pairs if b == i and a != i and (a in own or d == 2 and a in nucleus)} - {None} for i, x in sorted(nodes) if x == d}
+        for several in (False, True):
+            for i, atoms in of.items():
+                if atoms and (len(atoms) > 1) == several:
+                    pick = min(atoms, key=lambda a: (size[a], a))
+                    nucleus[i] = pick
+                    size[pick] += 1
+    return nucleus
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_atoms_grow_as_works_join(spark, seed):
+    rng = random.Random(seed)
+    nodes = [(f"a{i:02}", 0) for i in range(9)] + [(f"b{i:02}", 1) for i in range(40)] + [(f"c{i:02}", 2) for i in range(40)]
+    ids = [i for i, _ in nodes]
+    pairs = {(rng.choice(ids[:9]), rng.choice(ids[9:49])) for _ in range(70)} | {(rng.choice(ids[:49]), rng.choice(ids[49:])) for _ in range(70)} | {(rng.choice(ids[49:]), rng.choice(ids)) for _ in range(20)}
+    got = communities.atoms(spark.createDataFrame(sorted(pairs), "source string, target string"), spark.createDataFrame(nodes, "id string, depth int")).collect()
+    assert {r.id: r.nucleus for r in got} == atoms_by_hand(nodes, pairs)
 
 
 def test_incremental_equals_batch(spark, tmp_path):
