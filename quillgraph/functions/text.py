@@ -29,6 +29,7 @@ def _decomposed(form: str) -> tuple[dict[str, str], dict[str, str]]:
 
 _MARKED, _ = _decomposed("NFD")
 _SINGLE, _SEVERAL = _decomposed("NFKD")
+_SPELLED = "\x02".join(f"{c}\x01{plain}" for c, plain in _SEVERAL.items())
 
 #: Words of English and French that say nothing about a subject.
 STOP_WORDS = (
@@ -64,7 +65,7 @@ def plain_letters(text: Column) -> Column:
     """Letters without marks, compatibility forms (ligatures, wide and styled letters)
     as the plain ones. The few texts with a form that stands for several letters are
     rewritten character by character."""
-    table = F.create_map(*(F.lit(x) for pair in _SEVERAL.items() for x in pair))
+    table = F.str_to_map(F.lit(_SPELLED), F.lit("\x02"), F.lit("\x01"))  # one literal, folded once a plan
     spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
     whole = F.when(F.length(F.translate(text, "".join(_SEVERAL), "")) < F.length(text), spelled).otherwise(text)
     bare = F.regexp_replace(F.translate(whole, "".join(_SINGLE), "".join(_SINGLE.values())), r"\p{M}", "")

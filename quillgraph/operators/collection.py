@@ -180,12 +180,15 @@ def outside_citations(ix: Index, ext: External, drawn: DataFrame, ids: DataFrame
     if not options.local_works or "bibliography" in options.off:
         return graph.first_source(cites, FIRST), nothing
     key_of = X.work_key(F.coalesce(F.try_element_at("authors", F.lit(1)), F.lit("")), F.coalesce("year", F.lit("")), X.entry_title(F.col("text"), F.col("year")))
-    loose = open_.where(F.col("cited_doi").isNull() | unknown).withColumn("key", key_of).where("key is not null").withColumn("block", resolve.block_key(F.col("authors"), F.col("year")))
+    loose = open_.where(F.col("cited_doi").isNull() | unknown).withColumn("key", key_of).withColumn("text_words", X.title_words(F.col("text"))).withColumn("block", resolve.block_key(F.col("authors"), F.col("year")))
+    loose = cut(loose).where("key is not null")
     counts = cites.groupBy(F.col("target").alias("id")).agg(F.countDistinct("source").alias("n"))
-    first = W.surname(F.try_element_at("authors", F.lit(1)))
-    known = ext.works.join(counts, "id").select(F.col("id").alias("work_id"), "title", "n", resolve.block_key(F.array(X.name_key(first)), F.col("year").cast("string")).alias("block")).where("block is not null")
-    matched = resolve.same_work(loose.select("entry_id", "text", "block").join(known, "block").select("entry_id", "work_id", "title", "text", "n", F.xxhash64("work_id").alias("ord")))
-    placed = cut(loose.join(matched, "entry_id", "left").withColumn("target_", F.coalesce("work_id", F.concat(F.lit("ref:"), "key"))))
+    # step by step, since each of these names its input several times
+    known = ext.works.join(counts, "id").select(F.col("id").alias("work_id"), "title", "n", "year", F.try_element_at("authors", F.lit(1)).alias("author"))
+    known = known.withColumn("surname", W.surname(F.col("author"))).withColumn("first", X.name_key(F.col("surname"))).withColumn("block", resolve.block_key(F.array("first"), F.col("year").cast("string")))
+    known = cut(known.select("work_id", X.title_words(F.col("title")).alias("title_words"), "n", "block")).where("block is not null")
+    matched = resolve.same_work(loose.select("entry_id", "text_words", "block").join(known, "block").select("entry_id", "work_id", "title_words", "text_words", "n", F.xxhash64("work_id").alias("ord")))
+    placed = cut(loose.drop("text_words").join(matched, "entry_id", "left").withColumn("target_", F.coalesce("work_id", F.concat(F.lit("ref:"), "key"))))
     local = placed.where("work_id is null").groupBy(F.col("target_").alias("target")).agg(F.min_by(F.struct("text", "year", "first_author", "authors", "et_al"), F.struct("path", "entry_ord")).alias("e")).select("target", "e.*")
     cites = cites.union(placed.select(F.col("path").alias("source"), F.col("target_").alias("target"), F.lit("bibliography").alias("kind")))
     return graph.first_source(cites, FIRST), local

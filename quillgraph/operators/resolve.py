@@ -55,16 +55,16 @@ def resolve_entries(entries: DataFrame, works: DataFrame, owners: DataFrame | No
 
 
 def same_work(candidates: DataFrame) -> DataFrame:
-    """(entry_id, work_id): of candidates(entry_id, work_id, title, text, n, ord) whose
-    titles overlap the entry enough, the most cited if all have the first one's title,
-    else null."""
-    fit = candidates.where(title_overlap(title_words(F.col("title")), title_words(F.col("text"))) >= MIN_TITLE_OVERLAP)
-    first = F.first("title").over(Window.partitionBy("entry_id").orderBy("ord"))
-    a, b = title_words(F.col("title")), title_words(F.col("head"))
-    mutual = F.least(title_overlap(a, b), title_overlap(b, a)) >= SAME_WORK
-    scored = fit.withColumn("head", first).withColumn("same", mutual)
+    """(entry_id, work_id): of candidates(entry_id, work_id, title_words, text_words, n, ord)
+    whose titles overlap the entry enough, the most cited if all have the first one's title,
+    else null. Words come with the candidates, made once for each title and text before
+    they were joined."""
+    fit = candidates.where(title_overlap(F.col("title_words"), F.col("text_words")) >= MIN_TITLE_OVERLAP).drop("text_words")
+    first = F.first("title_words").over(Window.partitionBy("entry_id").orderBy("ord"))
+    scored = fit.withColumn("head", first)
+    mutual = F.least(title_overlap(F.col("title_words"), F.col("head")), title_overlap(F.col("head"), F.col("title_words"))) >= SAME_WORK
     best = F.max_by("work_id", F.struct("n", -F.col("ord")))
-    return scored.groupBy("entry_id").agg(F.when(F.min("same"), best).alias("work_id"))
+    return scored.groupBy("entry_id").agg(F.when(F.min(mutual), best).alias("work_id"))
 
 
 def doi_groups(works: DataFrame) -> DataFrame:

@@ -171,8 +171,8 @@ u AS (SELECT DISTINCT * FROM c WHERE len(tw) > 0), h AS (SELECT *, first_value(t
 SELECT entry_id, coalesce(CASE WHEN bool_and(least({overlap('tw', 'head')}, {overlap('head', 'tw')}) >= 0.8::DOUBLE) THEN arg_max(work_id, n * 1000000000 - ord) END, -1)::BIGINT AS work_id FROM h GROUP BY entry_id""",
 )
 def same_work_match(s, d):
-    rows = T.read(s, d, "orders").join(T.read(s, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(T.read(s, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
-    cand = rows.select(F.col("o_orderkey").alias("entry_id"), F.col("p_partkey").alias("work_id"), F.col("p_name").alias("title"), F.col("p_name").alias("text"), F.col("p_size").cast("long").alias("n"), F.col("p_partkey").alias("ord")).distinct()
+    rows = T.read(s, d, "orders").join(T.read(s, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(T.read(s, d, "part").withColumn("words", X.title_words(F.col("p_name"))), F.col("p_partkey") == F.col("l_partkey"))
+    cand = rows.select(F.col("o_orderkey").alias("entry_id"), F.col("p_partkey").alias("work_id"), F.col("words").alias("title_words"), F.col("words").alias("text_words"), F.col("p_size").cast("long").alias("n"), F.col("p_partkey").alias("ord")).distinct()
     return resolve.same_work(cand).select("entry_id", F.coalesce("work_id", F.lit(-1)).alias("work_id"))
 
 
