@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.geometry import dot
-from quillgraph.lineage import cut
 from quillgraph.operators.order import numbered
 
 
@@ -234,45 +233,3 @@ def region_topics(topics: DataFrame, *, coverage: float = 0.3, lift: float = 1.2
     rated = per.join(works, "grp").join(total, "topic").crossJoin(F.broadcast(every)).withColumn("coverage", F.col("c") / F.col("size")).withColumn("lift", F.col("coverage") / (F.col("total") / F.col("n")))
     fit = rated.where((F.col("coverage") >= coverage) & (F.col("lift") >= lift)).withColumn("score", F.col("coverage") * F.log(1 + F.col("lift")))
     return top_per(fit, "grp", 1, F.desc("score"), F.col("topic")).select("grp", "topic", "score")
-
-
-def latent_vectors(weights: DataFrame, dims: int = 64, *, rounds: int = 5, seed: int = 20260930) -> DataFrame:
-    """(doc_id, v): truncated SVD by seeded subspace iteration; documents projected on
-    the basis, unit length; the documents-by-terms product stays distributed, the basis
-    (terms x dims, at most 30,000 x 64) is the only thing on the driver."""
-    import pandas as pd
-
-    terms = [r.term for r in weights.select("term").distinct().orderBy("term").collect()]
-    place = {t: i for i, t in enumerate(terms)}
-    k = max(1, min(dims, len(terms)))
-    basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(max(1, len(terms)), k)))[0]
-
-    def gram(b: np.ndarray) -> np.ndarray:
-        def part(batches):
-            out = np.zeros_like(b)
-            for pdf in batches:
-                for t, w in zip(pdf["terms"], pdf["weights"]):
-                    rows = [place[x] for x in t]
-                    own = np.asarray(w) @ b[rows]
-                    out[rows] += np.outer(w, own)
-            yield pd.DataFrame({"m": [out.tobytes()]})
-
-        total = np.zeros_like(b)
-        for r in docs.mapInPandas(part, "m binary").toLocalIterator():
-            total += np.frombuffer(r.m).reshape(b.shape)
-        return total
-
-    docs = cut(weights.groupBy("doc_id").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights")))
-    for _ in range(rounds):
-        basis = np.linalg.qr(gram(basis))[0]
-
-    def project(batches):
-        for pdf in batches:
-            out = []
-            for t, w in zip(pdf["terms"], pdf["weights"]):
-                v = np.asarray(w) @ basis[[place[x] for x in t]]
-                n = np.linalg.norm(v)
-                out.append((v / n).tolist() if n > 0 else None)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "v": out})
-
-    return docs.mapInPandas(project, "doc_id long, v array<double>")

@@ -221,10 +221,11 @@ def spanning_tree_shape(s, d):
 
 @query("lsa_groups")
 def lsa_groups(s, d):
+    from quillgraph.operators.meaning_model import latent_vectors
     from quillgraph.plans.text import english_counts, english_size
 
     counts = english_counts(s, d)
-    return M.latent_vectors(M.tfidf(counts, M.vocabulary(counts, english_size(s, d))))
+    return latent_vectors(M.tfidf(counts, M.vocabulary(counts, english_size(s, d))))
 
 
 @query("meaning_groups_apart", "SELECT label, count(*)::BIGINT AS n, 1::BIGINT AS groups FROM embeddings WHERE label < 6 GROUP BY label")
