@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import isbns_in, title_overlap, title_words
+from quillgraph.lineage import cut
+from quillgraph.operators.similarity import first_leaders, mutual_pairs
 
 #: Shares of title words.
 MIN_TITLE_OVERLAP, SAME_WORK, SAME_TITLE = 0.6, 0.8, 0.9
@@ -72,34 +74,56 @@ def doi_groups(works: DataFrame) -> DataFrame:
     return works.where("doi is not null").groupBy(F.lower("doi").alias("doi")).agg(F.sort_array(F.collect_list("path")).alias("paths")).where(F.size("paths") >= 2)
 
 
+def title_classes(works: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of works(path, ord, doi, first_author, year, title) with author, year and title
+    words: (path, ord, has_doi, block, node), where node is the earliest work of the block
+    with the same words that, like the work, has a DOI or none; and the links (block, a,
+    b, a_ord, b_ord) between nodes whose titles are the same, never two with DOIs.
+
+    Copies of a title are compared once, however many there are."""
+    block = F.concat_ws("|", "first_author", "year")
+    rows = works.where("first_author <> '' and year is not null").select("path", F.struct("ord", "path").alias("ord"), F.col("doi").isNotNull().alias("has_doi"), block.alias("block"), F.sort_array(title_words(F.col("title"))).alias("words"))
+    rows = cut(rows.where("size(words) > 0"), "titles")
+    alike = ["block", "words", "has_doi"]
+    nodes = cut(rows.groupBy(*alike).agg(F.min("ord").alias("first")), "titles")
+    texts = nodes.select("block", F.struct("has_doi", F.col("first.path").alias("path")).alias("text"), F.col("first").alias("ord"), "words")
+    links = mutual_pairs(texts, SAME_TITLE).where("not (a.has_doi and b.has_doi)").select("block", F.col("a.path").alias("a"), F.col("b.path").alias("b"), "a_ord", "b_ord")
+    return rows.join(nodes, alike).select("path", "ord", "has_doi", "block", F.col("first.path").alias("node")), links
+
+
 def title_pairs(works: DataFrame) -> DataFrame:
     """(a, b) of works(path, ord, doi, first_author, year, title) of one block with the
     same title both ways, never two that both have DOIs; a comes first."""
-    side = works.where("first_author <> '' and year is not null and title <> ''").select("path", "ord", "doi", "first_author", "year", title_words(F.col("title")).alias("words"))
-    a, b = side.alias("a"), side.alias("b")
-    both = F.least(title_overlap(F.col("a.words"), F.col("b.words")), title_overlap(F.col("b.words"), F.col("a.words"))) >= SAME_TITLE
-    return a.join(b, (F.col("a.first_author") == F.col("b.first_author")) & (F.col("a.year") == F.col("b.year")) & (F.col("a.ord") < F.col("b.ord"))).where((F.col("a.doi").isNull() | F.col("b.doi").isNull()) & both).select(F.col("a.path").alias("a"), F.col("b.path").alias("b"))
+    rows, links = title_classes(works)
+    a, b = (rows.select(F.col("node").alias(c), F.col("ord").alias(f"{c}_row")) for c in "ab")
+    across = links.select("a", "b").join(a, "a").join(b, "b").select(F.least("a_row", "b_row").alias("a"), F.greatest("a_row", "b_row").alias("b"))
+    plain = rows.where("not has_doi").select("node", "ord")
+    inside = plain.alias("a").join(plain.alias("b"), (F.col("a.node") == F.col("b.node")) & (F.col("a.ord") < F.col("b.ord"))).select(F.col("a.ord").alias("a"), F.col("b.ord").alias("b"))
+    return across.union(inside).select("a.path", "b.path").toDF("a", "b")
+
+
+def duplicate_members(works: DataFrame) -> DataFrame:
+    """(path, grp, reason), a row for each work that is in a group: those that share a
+    DOI (grp is the DOI), and of the rest, stars by title (grp is the work in the middle). In
+    order, a work that is in no group yet takes all later ones of its block with its title.
+
+    No group is ever held by one task, whatever its size."""
+    shared = works.where("doi is not null").select("path", F.lower("doi").alias("grp"))
+    many = shared.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    by_doi = shared.join(many, "grp").select("path", "grp", F.lit("doi").alias("reason"))
+    rows, links = title_classes(works.join(by_doi.select("path"), "path", "left_anti"))
+    taken = first_leaders(links).select("node", "leader")
+    # of a title's copies with DOIs, the first alone can be in the middle
+    placed = rows.join(taken, "node", "left").where("leader is not null or not has_doi or path = node").select("path", F.coalesce("leader", "node").alias("grp"))
+    stars = cut(placed, "stars")
+    big = stars.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    return by_doi.union(stars.join(big, "grp").select("path", "grp", F.lit("title").alias("reason")))
 
 
 def duplicate_groups(works: DataFrame) -> DataFrame:
-    """(paths, reason): DOI groups first; of the rest, stars around the earliest work of
-    each block by title, in order, each work in one group."""
-    import pandas as pd
-
-    by_doi = doi_groups(works)
-    rest = works.join(by_doi.select(F.explode("paths").alias("path")), "path", "left_anti")
-    pairs = title_pairs(rest).join(rest.select(F.col("path").alias("a"), F.col("ord").alias("ord_a"), F.concat_ws("|", "first_author", "year").alias("block")), "a").join(rest.select(F.col("path").alias("b"), F.col("ord").alias("ord_b")), "b")
-
-    def stars(block: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for a, own in block.sort_values(["ord_a", "ord_b"]).groupby("a", sort=False):
-            members = [b for b in own["b"] if b not in taken]
-            if a not in taken and members:
-                taken.update([a, *members])
-                out.append({"paths": sorted([a, *members]), "reason": "title"})
-        return pd.DataFrame(out, columns=["paths", "reason"])
-
-    return by_doi.select("paths", F.lit("doi").alias("reason")).union(pairs.groupBy("block").applyInPandas(stars, "paths array<string>, reason string"))
+    """(paths, reason): the groups of duplicate_members, each as a sorted array, to be
+    shown; groups too large for a row are read from duplicate_members."""
+    return duplicate_members(works).groupBy("grp", "reason").agg(F.sort_array(F.collect_list("path")).alias("paths")).select("paths", "reason")
 
 
 def book_of_part(parts: DataFrame, books: DataFrame) -> DataFrame:

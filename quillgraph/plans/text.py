@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import predicates as P
 from quillgraph.functions import text as X
-from quillgraph.operators import meaning, notes, resolve
+from quillgraph.operators import meaning, notes, resolve, similarity
 from quillgraph.plans.base import joined, query, rounded
 from quillgraph.sources import tables as T
 from quillgraph.sources.snapshot import abstract_text
@@ -109,6 +109,13 @@ def title_overlap(s, d):
     return both.select(F.col("a.p_partkey").alias("id_a"), F.col("b.p_partkey").alias("id_b"), rounded(X.title_overlap(F.col("a.w"), F.col("b.w"))).alias("overlap"))
 
 
+@query("title_matches", f"WITH p AS (SELECT p_partkey, p_size, {words('p_name')} AS w FROM part), j AS (SELECT a.p_partkey AS title, b.p_partkey AS text, {overlap('a.w', 'b.w')} AS o FROM p a JOIN p b ON a.p_size = b.p_size AND a.p_partkey <> b.p_partkey) SELECT title, text, floor(o * 1000000 + 0.5) / 1000000 AS overlap FROM j WHERE o >= 0.6::DOUBLE")
+def title_matches(s, d):
+    p = T.read(s, d, "part").select("p_partkey", F.col("p_size").alias("block"), X.title_words(F.col("p_name")).alias("words"))
+    titles, texts = p.withColumnRenamed("p_partkey", "title"), p.withColumnRenamed("p_partkey", "text")
+    return similarity.overlap_join(titles, texts, resolve.MIN_TITLE_OVERLAP).where("title <> text").select("title", "text", rounded(F.col("overlap")).alias("overlap"))
+
+
 _BLOCK = f"""p AS (SELECT p_partkey, p_brand, p_size, p_name, {words('p_name')} AS w FROM part), pairs AS (
   SELECT a.p_partkey AS a, b.p_partkey AS b FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey
   WHERE (a.p_partkey % 4 <> 0 OR b.p_partkey % 4 <> 0) AND least({overlap('a.w', 'b.w')}, {overlap('b.w', 'a.w')}) >= 0.9::DOUBLE)"""
@@ -129,6 +136,21 @@ def duplicate_groups_star(s, d):
     return resolve.duplicate_groups(part_works(s, d)).select(joined("paths").alias("paths"), "reason")
 
 
+_STARS = f"""WITH RECURSIVE {_BLOCK}, o AS (SELECT a, row_number() OVER (ORDER BY a) AS i FROM (SELECT DISTINCT a FROM pairs)), r AS (
+  SELECT 0::BIGINT AS i, []::BIGINT[] AS taken, NULL::BIGINT AS a, []::BIGINT[] AS got
+  UNION ALL
+  SELECT o.i, CASE WHEN g.open THEN list_concat(r.taken, g.mine) ELSE r.taken END, o.a, CASE WHEN g.open THEN list_filter(g.mine, lambda x: NOT list_contains(r.taken, x)) ELSE []::BIGINT[] END
+  FROM r JOIN o ON o.i = r.i + 1, LATERAL (SELECT NOT list_contains(r.taken, o.a) AS open, (SELECT list(b) FROM pairs p WHERE p.a = o.a) AS mine) g
+)
+SELECT a::VARCHAR AS path, a::VARCHAR AS grp FROM r WHERE len(got) > 0 UNION ALL SELECT unnest(got)::VARCHAR, a::VARCHAR FROM r"""
+
+
+@query("duplicate_members", _STARS)
+def duplicate_members(s, d):
+    """Which part stands in the middle of which; their DOIs are all different."""
+    return resolve.duplicate_members(part_works(s, d)).select("path", "grp")
+
+
 @query("duplicate_groups_exact", "SELECT md5(text) AS key, array_to_string(list_sort(list(lpad(doc_id::VARCHAR, 12, '0'))), '|') AS paths FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) >= 2")
 def duplicate_groups_exact(s, d):
     works = T.read(s, d, "documents").select(F.md5("text").alias("doi"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"))
