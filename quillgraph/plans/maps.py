@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from quillgraph.functions import text as X
 from quillgraph.functions import works as W
 from quillgraph.operators import maps as P
+from quillgraph.operators import naming as N
 from quillgraph.operators.order import numbered
-from quillgraph.plans.base import query, rounded
+from quillgraph.plans.base import joined, query, rounded
 from quillgraph.plans.meaning import PLACES, VEC, places, r6, vectors
 from quillgraph.sources import tables as T
 
@@ -52,6 +53,34 @@ def region_keywords(s, d):
     return P.region_meanings(works, v.select("id", named.alias("keyword"))).select("grp", "keyword", rounded(F.col("score"), 5).alias("score"))
 
 
+#: Candidates one by one, best first: one is dealt if its region and its name are free.
+_DEALT = f"""WITH RECURSIVE {_MEANT}, best AS (SELECT grp, keyword, row_number() OVER (ORDER BY {r6('(own + 0.5::DOUBLE * (own - other)) * sqrt(coverage)', 5)} DESC, keyword, grp) AS i FROM o), fold AS (
+  SELECT 0::BIGINT AS i, []::VARCHAR[] AS used, []::VARCHAR[] AS named, NULL::INTEGER AS grp, NULL::VARCHAR AS keyword
+  UNION ALL
+  SELECT b.i, CASE WHEN f.free THEN list_append(fold.used, b.keyword) ELSE fold.used END, CASE WHEN f.free THEN list_append(fold.named, b.grp::VARCHAR) ELSE fold.named END, CASE WHEN f.free THEN b.grp END, b.keyword
+  FROM fold JOIN best b ON b.i = fold.i + 1, LATERAL (SELECT NOT list_contains(fold.used, b.keyword) AND NOT list_contains(fold.named, b.grp::VARCHAR) AS free) f
+)
+SELECT grp, keyword FROM fold WHERE grp IS NOT NULL"""
+
+
+@query("dealt_names", _DEALT)
+def dealt_names(s, d):
+    return N.deal_names(region_keywords(s, d).withColumnRenamed("keyword", "name")).select("grp", F.col("name").alias("keyword"))
+
+
+@query("region_names")
+def region_names(s, d):
+    """Vectors and documents of one id are a work: its label the region, its source the
+    topic, its words (of the whole text) the terms."""
+    v = vectors(s, d)
+    works = v.select("id", F.when(F.col("label") < 8, F.col("label")).alias("grp"), "v")
+    words = F.explode(F.array(F.concat(F.lit("K"), "label", F.lit("_"), F.col("id") % 3), F.concat(F.lit("m"), F.col("id") % 11)))
+    docs = T.read(s, d, "documents").select(F.col("doc_id").alias("id"), "source", "text")
+    terms = docs.select("id", F.explode(F.array_distinct(X.tokenize(F.col("text")))).alias("term"))
+    named = N.region_names(works, v.where("label % 2 = 0").select("id", words.alias("keyword")), docs.select("id", F.col("source").alias("topic")), terms, topic_coverage=0.05, topic_lift=1.0)
+    return named.select("grp", "title", "topic", joined("terms").alias("terms"))
+
+
 def grouped(s, d):
     return places(s, d).select("id", "x", "y", F.col("label").alias("grp"), (F.col("id") % 3).cast("int").alias("sub"))
 
