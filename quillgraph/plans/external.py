@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as X
 from quillgraph.functions import works as W
+from quillgraph.lineage import own_dir
 from quillgraph.operators import graph, ranking
 from quillgraph.plans.base import BONUS, INFO, joined, query, rounded
 from quillgraph.sources import external as E
+from quillgraph.sources import service as V
 from quillgraph.sources import tables as T
+from quillgraph.sources.snapshot import RAW, summarize
 
 
 def parts(s, d):
@@ -234,3 +239,42 @@ def suggestion_signals(s, d):
 @query("edge_classes_mixed", f"WITH {_ALL} SELECT source, target, source LIKE 'S%' AND target LIKE 'S%' AS in_vault FROM e WHERE target <> 'P0' AND target IN (SELECT 'P' || p_partkey FROM part UNION ALL SELECT 'S' || s_suppkey FROM supplier) AND source IN (SELECT 'P' || p_partkey FROM part UNION ALL SELECT 'S' || s_suppkey FROM supplier)")
 def edge_classes_mixed(s, d):
     return graph.edge_classes(all_directions(s, d).where("target <> 'P0'"), T.nodes(s, d))
+
+
+def store_answers(asked, records, folder: str):
+    """Write the stored responses of asked(value, batch) with records(value, record): a file
+    for each batch, by the tasks that hold them."""
+    import json
+
+    from pyarrow import fs
+
+    from quillgraph.sources.service import request_name, request_params
+
+    bodies = asked.join(records, "value", "left").groupBy("batch").agg(F.sort_array(F.collect_list("value")).alias("values"), F.concat(F.lit('{"results":['), F.array_join(F.collect_list("record"), ","), F.lit("]}")).alias("body"))
+
+    def write(frames):
+        system, base = fs.FileSystem.from_uri(folder)
+        system.create_dir(base, recursive=True)
+        for frame in frames:
+            for values, body in zip(frame["values"], frame["body"]):
+                name = request_name("/works", request_params("doi", list(values), E.BATCH))
+                with system.open_output_stream(f"{base}/{name}") as out:
+                    out.write(json.dumps({"status": 200, "body": body}).encode())
+            yield frame[["batch"]]
+
+    return bodies.mapInPandas(write, "batch long")
+
+
+@query("fetched_works", "SELECT '10.1/p' || p_partkey AS value, CASE WHEN p_size % 3 <> 0 AND p_size <> 1 THEN 'W' || p_partkey END AS id, CASE WHEN p_size % 3 <> 0 AND p_size <> 1 THEN p_name END AS title, CASE WHEN p_size % 3 <> 0 AND p_size <> 1 THEN p_size::INTEGER END AS year FROM part")
+def fetched_works(s, d):
+    """Every part's DOI is asked for, but for those known to be unknown (size 1); the service
+    knows those whose size 3 doesn't divide. Its responses are made of the table first."""
+    p = parts(s, d).select(F.concat(F.lit("10.1/p"), "p_partkey").alias("value"), F.concat(F.lit("W"), "p_partkey").alias("id"), "p_name", F.col("p_size").cast("int").alias("p_size"))
+    known = p.where("p_size = 1").select("value", F.lit(None).cast("string").alias("id"))
+    works = summarize(s.createDataFrame([], RAW)).withColumns({"partial": F.lit(False), "trimmed": F.lit(False)})
+    record = F.to_json(F.struct(F.concat(F.lit("https://w/"), "id").alias("id"), F.concat(F.lit("https://doi.org/"), "value").alias("doi"), F.col("p_name").alias("display_name"), F.col("p_size").alias("publication_year")))
+    folder = f"{own_dir(s)}/responses-{uuid.uuid4().hex}"
+    asked = V.batched(V.to_refetch(p.select("value"), known, works))
+    store_answers(asked, p.where("p_size % 3 <> 0").select("value", record.alias("record")), folder).count()
+    known, works, _ = V.fetch(p.select("value"), known, works, folder)
+    return known.join(works.select("id", "title", "year"), "id", "left").select("value", "id", "title", "year")

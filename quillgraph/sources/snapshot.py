@@ -21,11 +21,12 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return summarize(spark.read.schema(RAW).json(path))
 
 
-def summarize(raw: DataFrame) -> DataFrame:
+def summarize(raw: DataFrame, *kept: str) -> DataFrame:
     """Ids without their prefix, DOIs normalised, authors without empty names. Missing
-    topics and keywords stay null, which isn't the same as none."""
+    topics and keywords stay null, which isn't the same as none. Columns `kept` go along."""
     short = lambda c: F.regexp_replace(c, "^.*/", "")
     return raw.select(
+        *kept,
         short(F.col("id")).alias("id"),
         normalize_doi(F.col("doi")).alias("doi"),
         F.coalesce("display_name", F.lit("")).alias("title"),
