@@ -50,11 +50,17 @@ def suggestions(nodes: DataFrame, edges: DataFrame, info: DataFrame, this_year:
     return rows.withColumn("score", round_half_up(score))
 
 
-def ranked(rows: DataFrame, limit: int, *second: str) -> DataFrame:
-    """The best `limit` rows with their rank; ties by the further columns, then id.
+def reading_order(label: str) -> Column:
+    """Labels as a reader sorts them: letters first, then accents, then case."""
+    return F.collate(label, "UNICODE")
+
+
+def ranked(rows: DataFrame, limit: int, *second: str, label: str | None = None) -> DataFrame:
+    """The best `limit` rows with their rank; ties by the further columns, then, if it is
+    given, by the `label` column as a reader sorts it, then id.
 
     The top-k runs first, so the one-partition window has `limit` rows."""
-    order = [F.desc("score"), *(F.desc(c) for c in second), F.col("id")]
+    order = [F.desc("score"), *(F.desc(c) for c in second), *([reading_order(label)] if label else []), F.col("id")]
     top = rows.orderBy(*order).limit(limit)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
@@ -69,12 +75,14 @@ def plural(n: Column, word: str) -> Column:
     return F.concat(n.cast("string"), F.lit(f" {word}"), F.when(n == 1, "").otherwise("s"))
 
 
-def reasons() -> Column:
-    """Why a work is suggested, strongest first, without names: an array of lines."""
+def reasons(citers: Column | None = None, cited: Column | None = None) -> Column:
+    """Why a work is suggested, strongest first: an array of lines. citers and cited are
+    texts that name works of the collection; null, or none given, names nothing."""
     c = F.col
+    named = lambda names: F.lit("") if names is None else F.coalesce(F.concat(F.lit(": "), names), F.lit(""))
     lines = F.array(
-        F.when(c("vault_citers") > 0, F.concat(F.lit("Cited by "), plural(c("vault_citers"), "work"), F.lit(" of your vault"))),
-        F.when(c("cites_vault") > 0, F.concat(F.lit("Cites "), plural(c("cites_vault"), "work"), F.lit(" of your vault"))),
+        F.when(c("vault_citers") > 0, F.concat(F.lit("Cited by "), plural(c("vault_citers"), "work"), F.lit(" of your vault"), named(citers))),
+        F.when(c("cites_vault") > 0, F.concat(F.lit("Cites "), plural(c("cites_vault"), "work"), F.lit(" of your vault"), named(cited))),
         F.when(c("outside_citers") > 0, F.concat(F.lit("Cited by "), plural(c("outside_citers"), "other work"), F.lit(" of the graph"))),
         F.when(c("co_cited") > 0, F.concat(F.lit("Cited along with "), c("co_cited").cast("string"), F.lit(" of the "), c("core_size").cast("string"), F.lit(" works your vault cites most (cited by several of its works)"))),
         F.when(c("year").isNotNull(), F.concat(F.lit("Published in "), c("year").cast("string"))),
@@ -83,6 +91,30 @@ def reasons() -> Column:
     return F.filter(lines, lambda x: x.isNotNull())
 
 
+def first_names(rows: DataFrame, nodes: DataFrame, edges: DataFrame, end: str, name: str, shown: int = 5) -> DataFrame:
+    """(id, `name`): for each of rows(id) that is the `end` (source or target) of an edge, the
+    labels of the first `shown` works of the collection at the other end, in a reader's
+    order, and how many more there are. nodes(id, depth, label) may have null labels:
+    those are named by their id.
+
+    Spark cuts each group to `shown` rows before the shuffle, so a work with millions of
+    citers is no task of its own; the others are only counted."""
+    other = "source" if end == "target" else "target"
+    own = nodes.where("depth = 0").select(F.col("id").alias("other"), F.coalesce("label", "id").alias("label"))
+    pairs = edges.select(F.col(end).alias("id"), F.col(other).alias("other")).distinct().join(rows.select("id").distinct(), "id", "left_semi").join(own, "other")
+    first = Window.partitionBy("id").orderBy(reading_order("label"), "other")
+    top = pairs.withColumn("place", F.row_number().over(first)).where(F.col("place") <= shown)
+    listed = top.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "label"))), lambda s: s["label"]), "; ").alias("listed"))
+    more = pairs.groupBy("id").agg((F.count(F.lit(1)) - shown).alias("more"))
+    return listed.join(more, "id").select("id", F.when(F.col("more") > 0, F.concat("listed", F.lit("… (+"), F.col("more").cast("string"), F.lit(")"))).otherwise(F.col("listed")).alias(name))
+
+
+def named_reasons(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, why): reasons of suggestions that name the works of the collection."""
+    both = rows.join(first_names(rows, nodes, edges, "target", "citer_names"), "id", "left").join(first_names(rows, nodes, edges, "source", "cited_names"), "id", "left")
+    return both.select("id", reasons(F.col("citer_names"), F.col("cited_names")).alias("why"))
+
+
 #: An export's fields, in their order.
 FIELDS = ("rank", "score", "label", "title", "authors", "year", "doi", "openalex_id", "reference", "cited_by_vault", "cites_vault", "co_cited", "core_size", "cited_by_count", "why")
 

@@ -141,6 +141,27 @@ def suggestion_reasons(s, d):
     return suggested(s, d).select("id", F.array_join(ranking.reasons(), "\n").alias("why"))
 
 
+@query("suggestions_by_label", _SUGGEST + "SELECT row_number() OVER (ORDER BY score DESC, vault_citers DESC, title, id)::BIGINT AS rank, id, title, score FROM s QUALIFY rank <= 1000")
+def suggestions_by_label(s, d):
+    """Ties go by label, as a reader sorts it."""
+    rows = ranking.suggestions(T.nodes(s, d).select("id", "depth", "title"), edges(s, d).select("source", "target"), T.work_info(s, d), THIS_YEAR)
+    return ranking.ranked(rows, 1000, "vault_citers", label="title").select(F.col("rank").cast("long").alias("rank"), "id", "title", "score")
+
+
+@query(
+    "named_reasons",
+    _SUGGEST
+    + """, m AS (SELECT target AS id, s_name, row_number() OVER (PARTITION BY target ORDER BY s_name, source) AS i FROM edges JOIN supplier ON 'S' || s_suppkey = source),
+n AS (SELECT id, string_agg(s_name, '; ' ORDER BY i) FILTER (i <= 5) || CASE WHEN count(*) > 5 THEN '… (+' || count(*) - 5 || ')' ELSE '' END AS names FROM m GROUP BY id)
+SELECT id, concat_ws(chr(10), CASE WHEN vault_citers > 0 THEN 'Cited by ' || vault_citers || ' work' || CASE WHEN vault_citers = 1 THEN '' ELSE 's' END || ' of your vault: ' || names END,
+ CASE WHEN co_cited > 0 THEN 'Cited along with ' || co_cited || ' of the ' || core_size || ' works your vault cites most (cited by several of its works)' END,
+ CASE WHEN year IS NOT NULL THEN 'Published in ' || year END, CASE WHEN cited_by_count IS NOT NULL THEN 'Cited ' || cited_by_count || ' times in all (OpenAlex)' END) AS why FROM k LEFT JOIN n USING (id) WHERE rank <= 1000""",
+)
+def named_reasons(s, d):
+    named = ranking.named_reasons(suggested(s, d), T.nodes(s, d).select("id", "depth", F.col("title").alias("label")), edges(s, d))
+    return named.select("id", F.array_join("why", "\n").alias("why"))
+
+
 def suggestion_rows(s, d):
     works = T.nodes(s, d).where("depth > 0").select("id", F.col("title").alias("label"), F.col("keywords").alias("authors"), F.lit(None).cast("string").alias("doi"), F.col("id").alias("openalex_id"), F.lit(None).cast("string").alias("reference"))
     return ranking.export_records(suggested(s, d), T.nodes(s, d), edges(s, d), works)

@@ -260,3 +260,19 @@ def test_numbering_and_unions_against_brute_force(spark):
     core = {v for v, c in citers.items() if len(c) >= 2}
     want = {v: (len({w for u, w in edges if u in c and w in core} - {v}), len(core - {v})) for v, c in citers.items()}
     assert {r.id: (r.co_cited, r.core_size) for r in graph.co_cited(spark.createDataFrame(list(edges), "source string, target string")).collect()} == want
+
+
+def test_ties_go_by_label_as_a_reader_sorts(spark):
+    rows = spark.createDataFrame([("1", 2.0, "zebra"), ("2", 2.0, "Écrin"), ("3", 2.0, "eclair"), ("4", 2.0, "Zebra"), ("5", 3.0, "zz"), ("6", 2.0, None), ("7", 2.0, "eclair")], "id string, score double, title string")
+    assert [r.id for r in ranking.ranked(rows, 7, label="title").orderBy("rank").collect()] == ["5", "6", "3", "7", "2", "1", "4"]
+
+
+def test_reasons_name_the_first_works(spark):
+    """Seven citers, one of them outside of the collection; repeats of an edge count once."""
+    labels = ["Émile", "anna", "Zoe", "Bert", "carl", "Dora"]
+    nodes = spark.createDataFrame([(f"v{i}", 0, n) for i, n in enumerate(labels)] + [("v9", 0, None), ("x", 1, "X"), ("y", 1, "Y")], "id string, depth int, label string")
+    edges = spark.createDataFrame([(f"v{i}", "x") for i in (0, 1, 2, 3, 4, 5, 5)] + [("y", "x"), ("x", "v9"), ("x", "v1"), ("v1", "y")], "source string, target string")
+    rows = spark.createDataFrame([("x", 6, 2, 1), ("y", 1, 0, 0)], "id string, vault_citers long, cites_vault long, outside_citers long").selectExpr("*", "0L AS co_cited", "3L AS core_size", "CAST(NULL AS INT) AS year", "CAST(NULL AS LONG) AS cited_by_count")
+    got = {r.id: r.why for r in ranking.named_reasons(rows, nodes, edges).collect()}
+    assert got["x"] == ["Cited by 6 works of your vault: anna; Bert; carl; Dora; Émile… (+1)", "Cites 2 works of your vault: anna; v9", "Cited by 1 other work of the graph"]
+    assert got["y"] == ["Cited by 1 work of your vault: anna"]
