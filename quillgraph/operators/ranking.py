@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.lineage import cut
 from quillgraph.operators.graph import co_cited, common_citers
 
 #: Weights of the signals.
@@ -29,10 +30,11 @@ def bonus(year: Column, cited_by_count: Column, this_year: int) -> Column:
 def suggestions(nodes: DataFrame, edges: DataFrame, info: DataFrame, this_year: int) -> DataFrame:
     """Works outside the collection with signals and score.
 
-    `edges` has depths ds and dt of its ends. Edges are aggregated once per end; only
-    edges from the collection go into co-citation."""
+    `edges` get the depths ds and dt of their ends, once for all signals. Edges are
+    aggregated once per end; only edges from the collection go into co-citation."""
     depth = nodes.select("id", "depth")
     sided = edges.select("source", "target").join(depth.select(F.col("id").alias("source"), F.col("depth").alias("ds")), "source").join(depth.select(F.col("id").alias("target"), F.col("depth").alias("dt")), "target")
+    sided = cut(sided, "sided")
     into = sided.where("dt <> 0").groupBy(F.col("target").alias("id")).agg(F.count(F.when(F.col("ds") == 0, 1)).alias("vault_citers"), F.count(F.when(F.col("ds") != 0, 1)).alias("outside_citers"))
     out = sided.where("ds <> 0 and dt = 0").groupBy(F.col("source").alias("id")).agg(F.countDistinct("target").alias("cites_vault"))
     shared = co_cited(sided.where("ds = 0 and dt <> 0").select("source", "target"))
@@ -111,6 +113,7 @@ def first_names(rows: DataFrame, nodes: DataFrame, edges: DataFrame, end: str, n
 
 def named_reasons(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, why): reasons of suggestions that name the works of the collection."""
+    rows = cut(rows, "suggested")
     both = rows.join(first_names(rows, nodes, edges, "target", "citer_names"), "id", "left").join(first_names(rows, nodes, edges, "source", "cited_names"), "id", "left")
     return both.select("id", reasons(F.col("citer_names"), F.col("cited_names")).alias("why"))
 
@@ -125,6 +128,7 @@ def export_records(rows: DataFrame, nodes: DataFrame, edges: DataFrame, works: D
     doi, openalex_id, reference) say what is known of them. Lists are of the suggestions
     ranked alone, and of the collection's works."""
     own = nodes.where("depth = 0").select(F.col("id").alias("other"))
+    rows = cut(rows, "suggested")
     asked = rows.select("id")
 
     def named(end: str, other: str, name: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -262,6 +263,30 @@ def test_numbering_and_unions_against_brute_force(spark):
     assert {r.id: (r.co_cited, r.core_size) for r in graph.co_cited(spark.createDataFrame(list(edges), "source string, target string")).collect()} == want
 
 
+def shuffled(spark):
+    """Bytes that the session's tasks have written to shuffles so far."""
+    time.sleep(1)  # the store is updated from time to time
+    return spark._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+
+
+def test_co_citation_never_shuffles_unions(spark):
+    """Two collections apart, with targets in several blocks: sizes as counted, and bytes
+    in proportion to the edges, not to each target's union."""
+    rng = random.Random(31)
+    edges = {(f"s{h}x{rng.randrange(90)}", f"t{h}x{rng.randrange(24_000)}") for h in (1, 2) for _ in range(60_000)} | {("s1x0", "s2x0")}
+    cites, citers = {}, {}
+    for u, v in edges:
+        cites.setdefault(u, set()).add(v)
+        citers.setdefault(v, set()).add(u)
+    core = {v for v, c in citers.items() if len(c) >= 2}
+    wanted = {v: (len((set().union(*(cites[u] for u in c)) & core) - {v}), len(core - {v})) for v, c in citers.items() if rng.random() < 0.02}
+    table = spark.createDataFrame(list(edges), "source string, target string").localCheckpoint()
+    before = shuffled(spark)
+    got = {r.id: (r.co_cited, r.core_size) for r in graph.co_cited(table).collect()}
+    assert shuffled(spark) - before < 150 * len(edges)
+    assert got.keys() == citers.keys() and {v: got[v] for v in wanted} == wanted
+
+
 def test_ties_go_by_label_as_a_reader_sorts(spark):
     rows = spark.createDataFrame([("1", 2.0, "zebra"), ("2", 2.0, "Écrin"), ("3", 2.0, "eclair"), ("4", 2.0, "Zebra"), ("5", 3.0, "zz"), ("6", 2.0, None), ("7", 2.0, "eclair")], "id string, score double, title string")
     assert [r.id for r in ranking.ranked(rows, 7, label="title").orderBy("rank").collect()] == ["5", "6", "3", "7", "2", "1", "4"]
