@@ -170,16 +170,15 @@ def kmeans_step(places: DataFrame, centres: DataFrame) -> tuple[DataFrame, DataF
 
 
 def kmeans(places: DataFrame, k: int, *, rounds: int = 25) -> tuple[DataFrame, list[tuple[int, float, float]]]:
-    """Groups of placed works; first centres by quantiles of the angle. Only k centres
-    come to the driver between rounds."""
+    """Groups of placed works; first centres are spread by the angle: the works in the middle
+    of k equal runs. Only k centres come to the driver between rounds."""
     spark = places.sparkSession
     placed = places.where("x is not null").withColumn("angle", F.atan2("y", "x"))
     n = placed.count()
-    # tiles as ntile deals them: the first n % k have one more
-    at, more = F.col("at"), (n % k) * (n // k + 1)
-    tile = F.when(at < more, F.floor(at / (n // k + 1))).otherwise(n % k + F.floor((at - more) / max(1, n // k))).cast("int") + 1
-    ordered = numbered(placed, "angle", "id", name="at").withColumn("k", tile)
-    centres = [(r.k - 1, r.x, r.y) for r in ordered.groupBy("k").agg(F.min_by("x", F.struct("angle", "id")).alias("x"), F.min_by("y", F.struct("angle", "id")).alias("y")).collect()]
+    count = max(1, min(k, n))
+    middle = {(2 * c + 1) * n // (2 * count): c for c in range(count)}
+    ordered = numbered(placed, "angle", "id", name="at").where(F.col("at").isin(*middle))
+    centres = [(middle[r["at"]], r.x, r.y) for r in ordered.select("at", "x", "y").collect()]
     assigned = None
     for _ in range(rounds):
         assigned, moved = kmeans_step(places, spark.createDataFrame(centres, "grp int, x double, y double"))
