@@ -17,12 +17,13 @@ from quillgraph.sources import tables as T
 WORDS = ("alpha", "gamma", "delta", "omega")
 
 
-def _letters(k):
-    return F.translate(F.lpad(k.cast("string"), 5, "0"), "0123456789", "abcdefghij")
+def _letters(k, digits=5):
+    """A number of so many digits in letters; of longer ones, as in the SQL, the first."""
+    return F.translate(F.lpad(k.cast("string"), digits, "0"), "0123456789", "abcdefghij")
 
 
-def _title(k):
-    return F.concat(F.lit("Survey of xx"), _letters(k), F.lit("xx and yy"), _letters(k), F.lit("yy"))
+def _title(k, digits=5):
+    return F.concat(F.lit("Survey of xx"), _letters(k, digits), F.lit("xx and yy"), _letters(k, digits), F.lit("yy"))
 
 
 def _author(k):
@@ -227,10 +228,11 @@ def panel_related_citing(s, d):
 
 @query("panel_duplicates", "SELECT 'Literature/B' || p_partkey || '.md' AS path, 'doi' AS reason, 'Literature/A' || p_partkey || '.md' AS others FROM part WHERE p_partkey % 4 = 0 UNION ALL SELECT 'Literature/A' || p_partkey || '.md', 'doi', 'Literature/B' || p_partkey || '.md' FROM part WHERE p_partkey % 4 = 0 UNION ALL SELECT 'Literature/B' || p_partkey || '.md', 'title', 'Literature/A' || p_partkey || '.md' FROM part WHERE p_partkey % 4 = 1 UNION ALL SELECT 'Literature/A' || p_partkey || '.md', 'title', 'Literature/B' || p_partkey || '.md' FROM part WHERE p_partkey % 4 = 1")
 def panel_duplicates(s, d):
-    """Parts as pairs of notes: some share a DOI, some author, year and title, some differ in the title."""
+    """Parts as pairs of notes: some share a DOI, some author, year and title, some differ in the title. Titles
+    hold all digits of the part's key, so no two parts have the same."""
     p = T.read(s, d, "part").select(F.col("p_partkey").cast("long").alias("k")).withColumn("side", F.explode(F.array(F.lit("A"), F.lit("B"))))
     k = F.col("k")
-    title = F.when((k % 4 == 2) & (F.col("side") == "B"), F.concat(F.lit("Something wholly different zz"), _letters(k), F.lit("zz"))).otherwise(_title(k))
+    title = F.when((k % 4 == 2) & (F.col("side") == "B"), F.concat(F.lit("Something wholly different zz"), _letters(k, 19), F.lit("zz"))).otherwise(_title(k, 19))
     doi = F.when(k % 4 == 0, F.concat(F.lit("10.1000/P"), k)).when(k % 4 == 3, F.concat(F.lit("10.1000/"), "side", k))
     rows = p.select(F.concat(F.lit("Literature/"), "side", k, F.lit(".md")).alias("path"), F.concat("side", k).alias("basename"), F.lit("Text.").alias("text"), F.map_filter(F.create_map(F.lit("title"), title, F.lit("authors"), _author(k), F.lit("year"), _year(k), F.lit("doi"), doi), lambda _, v: v.isNotNull()).alias("properties"))
     return C.duplicate_warnings(C.index(rows)).select("path", "reason", joined("others").alias("others"))
