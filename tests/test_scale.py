@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+import time
 
-from quillgraph.operators import meaning
+from quillgraph.operators import meaning, similarity
 from quillgraph.plans import collection
 
 
@@ -29,3 +30,22 @@ def test_parts_of_six_digits_have_titles_of_their_own(spark, tmp_path):
     got = {(r.path, r.reason, r.others) for r in collection.panel_duplicates(spark, str(tmp_path)).collect()}
     sides = (("A", "B"), ("B", "A"))
     assert got == {(f"Literature/{a}{k}.md", "title", f"Literature/{b}{k}.md") for pair in same for k in pair for a, b in sides}
+
+
+def test_copies_of_a_title_are_compared_once(spark):
+    """2,000 copies make four million pairs, none of which goes through a shuffle."""
+    written = lambda: time.sleep(1) or spark._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+    rows = spark.createDataFrame([(i, 1, ["alpha", "beta"]) for i in range(2000)] + [(5000, 1, ["beta"]), (5001, None, ["beta"])], "id long, block int, words array<string>").localCheckpoint()
+    before = written()
+    got = similarity.overlap_join(rows.withColumnRenamed("id", "title"), rows.withColumnRenamed("id", "text"), 0.6).groupBy("overlap").count().collect()
+    assert {(r.overlap, r["count"]) for r in got} == {(1.0, 2000 * 2000 + 2001)}
+    assert written() - before < 2_000_000
+
+
+def test_all_overlaps_of_a_block(spark):
+    titles = {1: (1, "a b"), 2: (1, "b"), 3: (1, "a b"), 4: (2, "b"), 5: (None, "b"), 6: (1, ""), 7: (1, "c xxa")}
+    rows = spark.createDataFrame([(i, g, w.split()) for i, (g, w) in titles.items()], "id long, block int, words array<string>")
+    got = {(r.a, r.b): r.overlap for r in similarity.all_overlaps(rows).collect()}
+    near = lambda w, t: w in t or any(x.endswith(w) and 1 <= len(x) - len(w) <= 3 for x in t)
+    share = lambda a, b: sum(near(w, b) for w in a) / len(a) if a else 0.0
+    assert got == {(a, b): share(x.split(), y.split()) for a, (g, x) in titles.items() for b, (h, y) in titles.items() if a < b and g == h and g is not None}
