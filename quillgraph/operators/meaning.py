@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.geometry import dot
+from quillgraph.lineage import cut
 from quillgraph.operators.nearest import blocks_for, largest_products, matrix
 from quillgraph.operators.order import numbered
 
@@ -66,36 +67,87 @@ def knn_cosine(vectors: DataFrame, k: int) -> DataFrame:
     return top_per(found, "id", k, F.desc("similarity"), F.col("neighbour"))
 
 
+#: Places of one tile of the plane.
+TILE = 2048
+
+
+def _near_places(q: np.ndarray, at: np.ndarray, c: np.ndarray, there: np.ndarray, k: int, chunk: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of c, distance): each place's k nearest, nearest first, ties to the
+    smaller row of c; a place isn't near itself."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for i in range(0, len(q) if len(c) else 0, chunk):
+        some = slice(i, i + chunk)
+        d = np.hypot(there[None, :, 0] - at[some, None, 0], there[None, :, 1] - at[some, None, 1])
+        d[q[some, None] == c[None, :]] = np.inf
+        floor = np.partition(d, k - 1, axis=1)[:, k - 1] if k < len(c) else np.full(len(d), np.inf)
+        r, j = np.nonzero((d <= floor[:, None]) & np.isfinite(d))
+        order = np.lexsort((j, d[r, j], r))
+        r, j = r[order], j[order]
+        keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+        r, j = r[keep], j[keep]
+        out.append((i + r, j, d[r, j]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
 def knn_plane(places: DataFrame, k: int) -> DataFrame:
     """(id, neighbour, distance, closeness, rank) of (id, x, y): exact in the plane.
 
-    A grid of about k places a cell; a place looks in growing rings of cells until the
-    k-th distance is inside the rings. Each ring is an equi-join on cells; only places
-    that still look go on."""
-    stats = places.where("x is not null and y is not null").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.count(F.lit(1)).alias("n")).first()
+    Places are dealt into tiles of bounded size along a Z-curve. A place's nearest of its own
+    tile bound how far it must look; only where that circle reaches other tiles is the place
+    sent to them. So the shuffle has a few rows for each place and neighbour, however the
+    places lie, and pairs are made in Arrow batches only. The driver sees one box a tile."""
+    import pyarrow as pa
+
+    from quillgraph.operators.neighbour_map import blocks_of
+
+    given = places.where("x is not null and y is not null").select("id", "x", "y")
+    stats = given.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.count(F.lit(1)).alias("n")).first()
     schema = "id long, neighbour long, distance double, closeness double, rank int"
     if not stats.n or stats.n < 2:
         return places.sparkSession.createDataFrame([], schema)
     extent = max(stats.x1 - stats.x0, stats.y1 - stats.y0, 1e-9)
-    cells = max(1, int(np.ceil(np.sqrt(stats.n / max(1, k)))))
-    scale, cell = extent / cells / 2, extent / cells
-    put = places.where("x is not null and y is not null").select("id", "x", "y", F.floor((F.col("x") - stats.x0) / cell).alias("cx"), F.floor((F.col("y") - stats.y0) / cell).alias("cy"))
-    target = put.select(F.col("id").alias("neighbour"), F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("cx").alias("gx"), F.col("cy").alias("gy"))
-    todo, done, radius = put, None, 1
-    while True:
-        near = todo.withColumn("gx", F.explode(F.sequence(F.col("cx") - radius, F.col("cx") + radius))).withColumn("gy", F.explode(F.sequence(F.col("cy") - radius, F.col("cy") + radius)))
-        pairs = near.join(target, ["gx", "gy"]).where("id <> neighbour").withColumn("distance", F.hypot(F.col("nx") - F.col("x"), F.col("ny") - F.col("y")))
-        best = top_per(pairs, "id", k, "distance", "neighbour").select("id", "neighbour", "distance", "rank")
-        whole = radius > cells
-        sure = best.groupBy("id").agg(F.max("distance").alias("far"), F.count(F.lit(1)).alias("n")).where(F.lit(whole) | ((F.col("n") == k) & (F.col("far") <= radius * cell))).select("id")
-        ready = best.join(sure, "id", "left_semi")
-        done = ready if done is None else done.union(ready)
-        if whole:
-            break
-        todo = todo.join(sure, "id", "left_anti")
-        if todo.isEmpty():
-            break
-        radius = min(radius * 3, cells + 1)
+    scale = extent / max(1, int(np.ceil(np.sqrt(stats.n / max(1, k))))) / 2
+    tiles = cut(blocks_of(given, TILE), "plane-tiles")
+    boxes = tiles.groupBy("block").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("id").alias("least")).collect()
+    box, least = np.array([[b.x0, b.x1, b.y0, b.y1] for b in boxes]), np.array([b.least for b in boxes])
+    tile = np.array([b.block for b in boxes], np.int32)
+    shared = places.sparkSession.sparkContext.broadcast((tile, box, least))
+
+    def own(group: pa.Table) -> pa.Table:
+        group = group.sort_by("id")
+        ids, at, here = group.column("id").to_numpy(), np.stack([group.column("x").to_numpy(), group.column("y").to_numpy()], 1), group.column("block")[0].as_py()
+        r, j, d = _near_places(ids, at, ids, at, k)
+        ends = np.searchsorted(r, np.arange(len(ids) + 1))
+        full = np.diff(ends) == k
+        far, last = np.full(len(ids), np.inf), np.full(len(ids), np.iinfo(np.int64).max)
+        far[full], last[full] = d[ends[1:][full] - 1], ids[j[ends[1:][full] - 1]]
+        tile, box, least = shared.value
+        visits, sizes = [], []
+        for i in range(0, len(ids), 256):
+            x, y, reach = at[i : i + 256, 0, None], at[i : i + 256, 1, None], far[i : i + 256, None]
+            gap = np.hypot(np.maximum(0, np.maximum(box[:, 0] - x, x - box[:, 1])), np.maximum(0, np.maximum(box[:, 2] - y, y - box[:, 3])))
+            goes = ((gap < reach) | ((gap <= reach * (1 + 1e-12)) & (least < last[i : i + 256, None]))) & (tile != here)
+            visits.append(tile[np.nonzero(goes)[1]])
+            sizes.append(goes.sum(1))
+        list_of = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
+        to = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        return pa.table({"id": ids, "x": at[:, 0], "y": at[:, 1], "far": far, "neighbours": list_of(ends, ids[j]), "distances": list_of(ends, d), "visits": list_of(to, np.concatenate(visits))})
+
+    def visited(asks: pa.Table, group: pa.Table) -> pa.Table:
+        group = group.sort_by("id")
+        xy = lambda t: np.stack([t.column("x").to_numpy(), t.column("y").to_numpy()], 1)
+        q, c = asks.column("id").to_numpy(), group.column("id").to_numpy()
+        r, j, d = _near_places(q, xy(asks), c, xy(group), k)
+        near = d <= asks.column("far").to_numpy()[r]
+        return pa.table({"id": q[r[near]], "neighbour": c[j[near]], "distance": d[near]})
+
+    first = tiles.groupBy("block").applyInArrow(own, "id long, x double, y double, far double, neighbours array<long>, distances array<double>, visits array<int>")
+    first = cut(first, "plane-near")
+    pairs = lambda rows: rows.select("id", F.posexplode(F.arrays_zip("neighbours", "distances")).alias("at", "n")).select("id", F.col("n.neighbours").alias("neighbour"), F.col("n.distances").alias("distance"), (F.col("at") + 1).alias("rank"))
+    asks = first.select("id", "x", "y", "far", F.explode("visits").alias("block"))
+    found = asks.groupBy("block").cogroup(tiles.groupBy("block")).applyInArrow(visited, "id long, neighbour long, distance double")
+    both = top_per(pairs(first.where("size(visits) > 0")).drop("rank").unionByName(found), "id", k, "distance", "neighbour")
+    done = pairs(first.where("size(visits) = 0")).unionByName(both)
     return done.select("id", "neighbour", "distance", (1 / (1 + F.col("distance") / scale)).alias("closeness"), "rank")
 
 

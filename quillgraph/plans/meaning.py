@@ -49,7 +49,7 @@ def knn_plane(s, d):
 @query("kin_filter", f"WITH {_PLANE.replace('rank FROM s)', 'rank FROM s)')}, {VEC}, q AS (SELECT k.id, k.neighbour, {DOT} AS similarity FROM k JOIN v a ON a.id = k.id JOIN v b ON b.id = k.neighbour WHERE rank <= 30), t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, neighbour)::INTEGER AS rank FROM q WHERE similarity >= 0.3::DOUBLE) SELECT id, neighbour, {r6('similarity')} AS similarity, rank FROM t WHERE rank <= 6")
 def kin_filter(s, d):
     near = M.knn_plane(places(s, d).select("id", "x", "y"), 30).select("id", "neighbour")
-    v = vectors(s, d).select("id", "v")
+    v = T.read(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))  # as stored: half the size to shuffle
     both = near.join(v, "id").join(v.select(F.col("id").alias("neighbour"), F.col("v").alias("w")), "neighbour").withColumn("similarity", G.dot(F.col("v"), F.col("w")))
     return M.top_per(both.where("similarity >= 0.3"), "id", 6, F.desc("similarity"), F.col("neighbour")).select("id", "neighbour", rounded(F.col("similarity")).alias("similarity"), "rank")
 

@@ -54,6 +54,24 @@ def test_all_overlaps_of_a_block(spark):
     assert got == {(a, b): share(x.split(), y.split()) for a, (g, x) in titles.items() for b, (h, y) in titles.items() if a < b and g == h and g is not None}
 
 
+def test_nearest_of_a_dense_middle_and_of_copies(spark):
+    """Places far out don't make those in the middle meet all of their ring, nor copies each
+    other: what is shuffled grows with places and neighbours, not with pairs."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(5000, 2)) * 1e-3, np.full((3000, 2), 0.25), rng.normal(size=(500, 2)) * 50]).round(6)
+    rows = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "id long, x double, y double").localCheckpoint()
+    written = lambda: time.sleep(1) or spark._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+    before = written()
+    got: dict[int, list] = {}
+    for r in sorted(meaning.knn_plane(rows, 6).collect(), key=lambda r: (r.id, r["rank"])):
+        got.setdefault(r.id, []).append(r.neighbour)
+    assert written() - before < 10_000_000
+    for i in [*range(0, 8000, 97), *range(8000, 8500, 7)]:
+        d = np.hypot(*(x - x[i]).T)
+        d[i] = np.inf
+        assert got[i] == np.lexsort((np.arange(len(x)), d))[:6].tolist()
+
+
 def test_largest_products_of_copies_zeros_and_what_is_not_finite():
     rng = np.random.default_rng(3)
     x, y = rng.integers(-3, 4, (300, 5)).astype(float), rng.integers(-3, 4, (900, 5)).astype(float) * 1e20
