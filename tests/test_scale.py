@@ -7,7 +7,7 @@ import time
 
 import numpy as np
 
-from quillgraph.operators import meaning, similarity
+from quillgraph.operators import communities, meaning, similarity
 from quillgraph.operators.nearest import blocks_for, largest_products
 from quillgraph.plans import collection
 
@@ -91,3 +91,19 @@ def test_a_vector_is_sent_to_few_blocks(spark):
     v = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(40)], "id long, v array<double>")
     got = meaning.knn_cosine(v, 2).where("id = 5").select("neighbour").collect()
     assert sorted(r.neighbour for r in got) == [2, 8]
+
+
+def test_a_shared_work_is_one_row_of_the_fold(spark, monkeypatch):
+    """A task that folds a connected graph sorts a row for each work and atom, not one for each
+    pair of them."""
+    kind, seen = type(spark.range(1)), []
+    plain = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, **b: seen.append(self.count()) or plain(self, *a, **b))
+    edges = spark.createDataFrame([(f"S{a}", f"P{b:03}") for a in range(12) for b in range(60) if (a + b) % 3], "source string, target string")
+    got = {r.id: r.nucleus for r in communities.atoms(edges).collect()}
+    size = dict.fromkeys((f"S{a}" for a in range(12)), 0)
+    for b in range(60):
+        pick = min((f"S{a}" for a in range(12) if (a + b) % 3), key=lambda x: (size[x], x))
+        size[pick] += 1
+        assert got[f"P{b:03}"] == pick
+    assert seen == [60 + 12]
