@@ -6,6 +6,7 @@ import math
 import time
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quillgraph.operators import communities, meaning, similarity
 from quillgraph.operators.nearest import blocks_for, largest_products
@@ -107,3 +108,21 @@ def test_a_shared_work_is_one_row_of_the_fold(spark, monkeypatch):
         size[pick] += 1
         assert got[f"P{b:03}"] == pick
     assert seen == [60 + 12]
+
+
+def _shuffled(spark, job):
+    written = lambda: time.sleep(1) or spark._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+    before = written()
+    out = job()
+    return out, written() - before
+
+
+def test_propagated_labels_are_numbers_in_shuffles(spark):
+    """Names are long here; they go through shuffles when nodes are numbered, not in rounds."""
+    name = lambda c: f"concat('a name of a work that is long ', sha2(cast({c} AS string), 256))"
+    ids = spark.range(900)
+    pairs = ids.toDF("a").join(ids.toDF("b"), F.expr("a < b AND a div 45 = b div 45"))
+    edges = pairs.selectExpr(f"{name('a')} AS source", f"{name('b')} AS target").localCheckpoint()
+    got, size = _shuffled(spark, lambda: communities.label_propagation(edges).groupBy("community").count().collect())
+    assert sum(r["count"] for r in got) == 900 and max(r["count"] for r in got) == 45
+    assert size < 3_000_000
