@@ -8,7 +8,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from quillgraph.operators import communities, meaning, similarity
+from quillgraph.operators import communities, meaning, resolve, similarity
 from quillgraph.operators.nearest import blocks_for, largest_products
 from quillgraph.plans import collection
 
@@ -126,3 +126,24 @@ def test_propagated_labels_are_numbers_in_shuffles(spark):
     got, size = _shuffled(spark, lambda: communities.label_propagation(edges).groupBy("community").count().collect())
     assert sum(r["count"] for r in got) == 900 and max(r["count"] for r in got) == 45
     assert size < 3_000_000
+
+
+def test_entries_of_the_same_words_are_resolved_once(spark):
+    """Against all pairs: DOIs that begin like another, the entry's own note, copies; then a block of 20,000 copies each."""
+    titles, dois = ["alpha beta gamma", "alpha beta delta", "omega", ""], [None, None, "10.1/a", "10.1/ab", "10.1/abc", "10.1/z", ""]
+    works = [(f"N{i}", i, dois[i * 5 % 7], str(2000 + i % 2), ["doe", "roe"][: 1 + i % 2], [titles[i % 4]]) for i in range(24)]
+    entries = [(i, f"N{i % 24}", dois[i * 3 % 7], str(2000 + i % 2), ["doe", "roe"][: 1 + i // 2 % 2], i % 3 == 0, "On " + titles[i // 4 % 4]) for i in range(96)]
+    w = spark.createDataFrame(works, "path string, ord int, doi string, year string, authors array<string>, titles array<string>")
+    e = spark.createDataFrame(entries, "entry_id int, from_path string, doi string, year string, authors array<string>, et_al boolean, text string")
+    owners = spark.createDataFrame([("10.1/z", "N1")], "doi string, owner string")
+    pairs = e.withColumn("text_words", resolve.title_words(F.col("text"))).crossJoin(w.select("path", F.struct("doi", "year", "authors", F.transform(F.filter("titles", lambda t: F.trim(t) != ""), resolve.title_words).alias("title_sets")).alias("w")))
+    fits = pairs.where("path <> from_path and coalesce(doi, '') <> '10.1/z'").where(resolve.entry_matches(lambda c: F.col(c), lambda c: F.col(f"w.{c}")))
+    blocks = fits.where("authors[0] = w.authors[0] and year = w.year")
+    want = {r.entry_id: r.path for r in blocks.groupBy("entry_id").agg(F.count(F.lit(1)).alias("n"), F.first("path").alias("path")).where("n = 1").collect()}
+    want |= {x[0]: "N1" for x in entries if x[2] == "10.1/z" and x[1] != "N1"}
+    got = {r.entry_id: r.path for r in resolve.resolve_entries(e, w, owners).collect()}
+    assert len(want) > 10 and got == {x[0]: want.get(x[0]) for x in entries}
+    one = "array('doe') AS authors"
+    many = spark.range(20_000).selectExpr("id AS entry_id", "concat('N', id) AS from_path", "string(null) AS doi", "'2000' AS year", one, "false AS et_al", "'alpha beta gamma' AS text")
+    copies = spark.range(20_000).selectExpr("concat('N', id) AS path", "id AS ord", "string(null) AS doi", "'2000' AS year", one, "array('alpha beta gamma') AS titles")
+    assert resolve.resolve_entries(many, copies).where("path is not null").isEmpty()
