@@ -18,7 +18,7 @@ from quillgraph.sources.snapshot import RAW, summarize
 
 
 def parts(s, d):
-    return T.read(s, d, "part").withColumn("k", F.col("p_partkey").cast("long"))
+    return T.spread(T.read(s, d, "part"), "p_partkey").withColumn("k", F.col("p_partkey").cast("long"))
 
 
 #: Full names and what their surname, and their form in a reference, should be.

@@ -15,6 +15,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """The rows dealt to all cores by a key. A table of few bytes is one file and one task,
+    whatever is computed from each of its rows."""
+    spark = rows.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(parts, key)
+
+
 def raw_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source, target, kind, quantity) of every line item, repeats included."""
     kind = F.when(F.col("l_returnflag") == "A", "link").when(F.col("l_returnflag") == "N", "bibliography").otherwise("openalex")

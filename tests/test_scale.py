@@ -128,6 +128,14 @@ def test_propagated_labels_are_numbers_in_shuffles(spark):
     assert size < 3_000_000
 
 
+def test_small_tables_are_dealt_to_all_cores(spark, tmp_path):
+    """One small file is one task; labels and template values cost much for each row."""
+    from quillgraph.plans import external
+
+    spark.range(100).selectExpr("int(id) AS p_partkey").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    assert external.parts(spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_entries_of_the_same_words_are_resolved_once(spark):
     """Against all pairs: DOIs that begin like another, the entry's own note, copies; then a block of 20,000 copies each."""
     titles, dois = ["alpha beta gamma", "alpha beta delta", "omega", ""], [None, None, "10.1/a", "10.1/ab", "10.1/abc", "10.1/z", ""]
