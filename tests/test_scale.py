@@ -117,6 +117,15 @@ def _shuffled(spark, job):
     return out, written() - before
 
 
+def test_a_pass_of_local_moves_reads_a_quarter_of_the_links(spark):
+    """Links of nodes that may not move aren't weighed, and go through two shuffles at most."""
+    links = spark.range(120_000).selectExpr("id % 2000 AS a", "(id % 2000 * 7 + id div 2000 * 31 + 1) % 2000 AS b", "1.0D AS w").localCheckpoint()
+    state = links.groupBy("a").count().selectExpr("a AS node", "a AS label", "double(count) AS degree").localCheckpoint()
+    got, size = _shuffled(spark, lambda: communities._local_moves(links, state, 120_000.0, passes=1, seed=3).collect())
+    assert len(got) == 2000 and 0 < sum(r.node != r.label for r in got) < 1000
+    assert size < 700_000
+
+
 def test_propagated_labels_are_numbers_in_shuffles(spark):
     """Names are long here; they go through shuffles when nodes are numbered, not in rounds."""
     name = lambda c: f"concat('a name of a work that is long ', sha2(cast({c} AS string), 256))"
