@@ -39,7 +39,7 @@ def _entry(k):
 
 
 def vault(s, d):
-    suppliers = T.read(s, d, "supplier").select(F.col("s_suppkey").cast("long").alias("k"))
+    suppliers = T.spread(T.read(s, d, "supplier").select(F.col("s_suppkey").cast("long").alias("k")), "k")
     n = suppliers.count()
     k = F.col("k")
     at = lambda off: (k + off + 1) % n
