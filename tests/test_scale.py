@@ -164,3 +164,8 @@ def test_entries_of_the_same_words_are_resolved_once(spark):
     many = spark.range(20_000).selectExpr("id AS entry_id", "concat('N', id) AS from_path", "string(null) AS doi", "'2000' AS year", one, "false AS et_al", "'alpha beta gamma' AS text")
     copies = spark.range(20_000).selectExpr("concat('N', id) AS path", "id AS ord", "string(null) AS doi", "'2000' AS year", one, "array('alpha beta gamma') AS titles")
     assert resolve.resolve_entries(many, copies).where("path is not null").isEmpty()
+
+
+def test_notes_of_a_small_table_are_dealt_to_all_cores(spark, tmp_path):
+    spark.range(100).selectExpr("int(id) AS s_suppkey").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    assert collection.vault(spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
