@@ -191,8 +191,12 @@ u AS (SELECT DISTINCT * FROM c WHERE len(tw) > 0), h AS (SELECT *, first_value(t
 SELECT entry_id, coalesce(CASE WHEN bool_and(least({overlap('tw', 'head')}, {overlap('head', 'tw')}) >= 0.8::DOUBLE) THEN arg_max(work_id, n * 1000000000 - ord) END, -1)::BIGINT AS work_id FROM h GROUP BY entry_id""",
 )
 def same_work_match(s, d):
-    rows = T.read(s, d, "orders").join(T.read(s, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(T.read(s, d, "part").withColumn("words", X.title_words(F.col("p_name"))), F.col("p_partkey") == F.col("l_partkey"))
-    cand = rows.select(F.col("o_orderkey").alias("entry_id"), F.col("p_partkey").alias("work_id"), F.col("words").alias("title_words"), F.col("words").alias("text_words"), F.col("p_size").cast("long").alias("n"), F.col("p_partkey").alias("ord")).distinct()
+    part = T.read(s, d, "part").select(F.col("p_partkey").alias("work_id"), X.title_words(F.col("p_name")).alias("words"), F.col("p_size").cast("long").alias("n"))
+    lines = T.read(s, d, "lineitem").select(F.col("l_orderkey").alias("entry_id"), F.col("l_partkey").alias("work_id"))
+    size, orders = lines.count(), T.read(s, d, "orders").select(F.col("o_orderkey").alias("entry_id"))
+    pairs = T.dealt(lines, "entry_id", size).join(orders, "entry_id").distinct()  # a semi join would be moved before the dealing
+    rows = T.dealt(T.dealt(pairs, "work_id", size).join(part, "work_id"), "entry_id", size)
+    cand = rows.select("entry_id", "work_id", F.col("words").alias("title_words"), F.col("words").alias("text_words"), "n", F.col("work_id").alias("ord"))
     return resolve.same_work(cand).select("entry_id", F.coalesce("work_id", F.lit(-1)).alias("work_id"))
 
 

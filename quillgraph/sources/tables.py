@@ -23,6 +23,16 @@ def spread(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(parts, key)
 
 
+#: Rows of one task, where tables are dealt by their size.
+TASK_ROWS = 250_000
+
+
+def dealt(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """The rows, some n, dealt by a key to so many tasks that each has few, however large
+    the table is: what is grouped by that key next needs no further shuffle."""
+    return rows.repartition(max(8, -(-n // TASK_ROWS)), key)
+
+
 def raw_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source, target, kind, quantity) of every line item, repeats included."""
     kind = F.when(F.col("l_returnflag") == "A", "link").when(F.col("l_returnflag") == "N", "bibliography").otherwise("openalex")

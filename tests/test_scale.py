@@ -169,3 +169,35 @@ def test_entries_of_the_same_words_are_resolved_once(spark):
 def test_notes_of_a_small_table_are_dealt_to_all_cores(spark, tmp_path):
     spark.range(100).selectExpr("int(id) AS s_suppkey").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
     assert collection.vault(spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def _tables(tmp_path, **tables):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for name, columns in tables.items():
+        pq.write_table(pa.table(columns), tmp_path / f"{name}.parquet")
+    return str(tmp_path)
+
+
+def test_entries_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    """No task gets more than its share of line items, and titles aren't keys of a fold
+    before the shuffle."""
+    import __spark_entry__ as entry
+    from quillgraph.sources import tables as T
+
+    monkeypatch.setattr(T, "TASK_ROWS", 10, raising=False)
+    n = 600
+    d = _tables(
+        tmp_path,
+        orders={"o_orderkey": list(range(60))},
+        lineitem={"l_orderkey": [i % 60 for i in range(n)], "l_partkey": [i % 50 for i in range(n)]},
+        part={"p_partkey": list(range(50)), "p_name": [f"survey of matters {'abcde'[i % 5] * 4}" for i in range(50)], "p_size": [i % 7 for i in range(50)]},
+    )
+    out = entry.queries()["same_work_match"](spark, d)
+    got = {r.entry_id: r.work_id for r in out.collect()}
+    lines = {(i % 60, i % 50) for i in range(n)}
+    same = lambda e: {p % 5 for k, p in lines if k == e}
+    want = {e: max(((p % 7, -p), p) for k, p in lines if k == e)[1] for e in range(60) if len(same(e)) == 1}
+    assert set(got) == set(range(60)) and {e: got[e] for e in want} == want
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString() and out.rdd.getNumPartitions() == n // 10
