@@ -17,6 +17,7 @@ from quillgraph.functions import text as X
 from quillgraph.functions import works as W
 from quillgraph.lineage import cut
 from quillgraph.operators import graph, notes, resolve
+from quillgraph.sources.tables import spread
 from quillgraph.sources.vault import is_literature
 
 #: Where citations come from; for works outside the first of these in order counts.
@@ -326,12 +327,14 @@ def related(ix: Index, ext: External, which: str = "references", limit: int = 50
         every = ext.works.select(F.col("id").alias("citing"), F.coalesce("cited_by_count", F.lit(0)).alias("n"), F.explode("references").alias("id")).join(ids, "id").select("path", F.col("citing").alias("id"), "n")
         counts = every.groupBy("path").agg(F.count(F.lit(1)).alias("external"))
         outside = every.withColumn("rank", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("n"), "id"))).where(F.col("rank") <= limit).select("path", "id")
-    works = ext.works.join(ext.missing.select("id"), "id", "left_anti").select("id", "doi", "title", "year", "authors")
+    # a label is made once for each work, by all cores; works without a DOI are no one key
+    works = spread(ext.works.select("id", "doi", "title", "year", "authors"), "id").join(ext.missing.select("id"), "id", "left_anti")
+    works = works.select("id", "doi", W.work_label(F.col("authors"), F.col("year"), F.col("title"), ix.settings.language).alias("label"), F.coalesce("doi", F.concat(F.lit("\0"), "id")).alias("asked"))
     notes_ = ix.works.select(F.col("path").alias("key"), F.col("label").alias("note_label"))
-    owner = doi_owners(ix.works, works.select("doi"))
-    found = outside.join(works, "id").join(owner, "doi", "left")
+    owner = doi_owners(ix.works, works.select("doi")).withColumnRenamed("doi", "asked")
+    found = spread(outside, "id").join(works.join(owner, "asked", "left"), "id")
     rows = local.select("path", F.lit("note").alias("kind"), "key", F.lit(None).cast("string").alias("label"), F.lit(0).alias("rank"))
-    rows = rows.union(found.select("path", F.when(F.col("owner").isNotNull(), "note").otherwise("doi"), F.coalesce("owner", "doi", "id"), W.work_label(F.col("authors"), F.col("year"), F.col("title"), ix.settings.language), F.lit(1)))
+    rows = rows.union(found.select("path", F.when(F.col("owner").isNotNull(), "note").otherwise("doi"), F.coalesce("owner", "doi", "id"), "label", F.lit(1)))
     merged = rows.groupBy("path", "key").agg(F.min_by(F.struct("kind", "label"), "rank").alias("r")).select("path", "key", "r.kind", "r.label")
     named = merged.join(notes_, "key", "left").withColumn("label", F.when(F.col("kind") == "note", F.col("note_label")).otherwise(F.col("label"))).drop("note_label")
     shown = named.groupBy("path").agg(F.count(F.lit(1)).alias("shown"))

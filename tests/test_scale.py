@@ -201,3 +201,19 @@ def test_entries_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
     want = {e: max(((p % 7, -p), p) for k, p in lines if k == e)[1] for e in range(60) if len(same(e)) == 1}
     assert set(got) == set(range(60)) and {e: got[e] for e in want} == want
     assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString() and out.rdd.getNumPartitions() == n // 10
+
+
+def test_labels_of_works_are_made_before_they_are_joined(spark, tmp_path):
+    """A label is one for each work, made by all cores, not by the tasks of one small file."""
+    from quillgraph.plans import collection as P
+    from quillgraph.operators import collection as C
+
+    n = 40
+    d = _tables(
+        tmp_path,
+        supplier={"s_suppkey": list(range(n))},
+        part={"p_partkey": list(range(n)), "p_name": [f"p{i}" for i in range(n)], "p_size": list(range(n))},
+        lineitem={"l_suppkey": [i % n for i in range(400)], "l_partkey": [i * 7 % n for i in range(400)]},
+    )
+    plan = C.related(P.indexed(spark, d), P.external(spark, d), "references")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan
