@@ -53,7 +53,7 @@ def typical_terms(works: DataFrame, terms: DataFrame) -> DataFrame:
     terms as keys: (share of the region's terms) ln(1 + mean region / uses everywhere).
     Terms of fewer than two works or 5 % of the region's works with terms say nothing, nor
     do those of more than a tenth of all works (1.5 regions' worth where that is more)."""
-    own = terms.where(F.length("term") > 2).distinct().join(works.select("id", "grp"), "id")
+    own = cut(terms.where(F.length("term") > 2).distinct().join(works.select("id", "grp"), "id"), "terms")
     placed = own.where("grp is not null")
     per = placed.groupBy("grp", "term").agg(F.count(F.lit(1)).alias("c"))
     per = cut(per, "terms")
@@ -97,7 +97,7 @@ def region_names(works: DataFrame, keywords: DataFrame, topics: DataFrame, terms
     a region without named works still has its row. Regions are few (dozens): only one row
     a region is broadcast."""
     named = lambda df, c: df.where(F.trim(c) != "").select("id", F.trim(c).alias(c)).distinct().join(works.select("id"), "id", "left_semi")
-    keywords, topics, terms = named(keywords, "keyword"), named(topics, "topic"), named(terms, "term")
+    keywords, topics, terms = named(keywords, "keyword"), named(topics, "topic"), cut(named(terms, "term"), "terms")
     regions = works.where("grp is not null").select("grp").distinct()
     titles = deal_names(region_meanings(works, keywords).withColumnRenamed("keyword", "name")).select("grp", F.col("name").alias("title_key"))
     about = region_topics(topics.join(works.select("id", "grp"), "id"), coverage=topic_coverage, lift=topic_lift).where("grp is not null").select("grp", "topic")

@@ -75,7 +75,8 @@ def region_names(s, d):
     v = vectors(s, d)
     works = v.select("id", F.when(F.col("label") < 8, F.col("label")).alias("grp"), "v")
     words = F.explode(F.array(F.concat(F.lit("K"), "label", F.lit("_"), F.col("id") % 3), F.concat(F.lit("m"), F.col("id") % 11)))
-    docs = T.read(s, d, "documents").select(F.col("doc_id").alias("id"), "source", "text")
+    # texts that aren't works name nothing; the others are dealt to all cores before their words are found
+    docs = T.spread(T.read(s, d, "documents").select(F.col("doc_id").alias("id"), "source", "text").join(v.select("id"), "id", "left_semi"), "id")
     terms = docs.select("id", F.explode(F.array_distinct(X.tokenize(F.col("text")))).alias("term"))
     named = N.region_names(works, v.where("label % 2 = 0").select("id", words.alias("keyword")), docs.select("id", F.col("source").alias("topic")), terms, topic_coverage=0.05, topic_lift=1.0)
     return named.select("grp", "title", "topic", joined("terms").alias("terms"))

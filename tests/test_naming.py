@@ -134,3 +134,19 @@ def test_names_of_nothing(spark):
     got = naming.region_names(works, empty("keyword"), empty("topic"), empty("term")).collect()
     assert [tuple(r) for r in got] == [(7, "", None, [])]
     assert naming.region_names(works.where("id = 0"), empty("keyword"), empty("topic"), empty("term")).count() == 0
+
+
+def test_words_of_works_are_found_once(spark):
+    """Terms are made a single time, however often the names look at them."""
+    looked = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            looked.add(b.num_rows)
+            yield b
+
+    works = spark.createDataFrame([(i, i % 2, [float(i), 1.0]) for i in range(6)], "id long, grp int, v array<double>")
+    terms = spark.createDataFrame([(i, f"word{i % 3}") for i in range(6)], "id long, term string").mapInArrow(seen, "id long, term string")
+    none = lambda c: spark.createDataFrame([], f"id long, {c} string")
+    assert naming.region_names(works, none("keyword"), none("topic"), terms).count() == 2
+    assert looked.value == 6
