@@ -217,3 +217,16 @@ def test_labels_of_works_are_made_before_they_are_joined(spark, tmp_path):
     )
     plan = C.related(P.indexed(spark, d), P.external(spark, d), "references")._jdf.queryExecution().optimizedPlan().toString()
     assert "Repartition" in plan
+
+
+def test_a_vector_is_dealt_once_however_many_blocks(spark, monkeypatch):
+    """Blocks meet in a cross join of a table, so no copy of a vector is made for a block."""
+    monkeypatch.setattr(meaning, "blocks_for", lambda n: 5)
+    v = np.random.default_rng(7).normal(size=(120, 4))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    out = meaning.knn_cosine(spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(v)], "id long, v array<double>"), 3)
+    s = v @ v.T
+    np.fill_diagonal(s, -np.inf)
+    got = {(r.id, r["rank"]): r.neighbour for r in out.collect()}
+    assert got == {(i, k + 1): int(j) for i in range(120) for k, j in enumerate(np.argsort(-s[i])[:3])}
+    assert "explode" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
