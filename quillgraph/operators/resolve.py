@@ -2,6 +2,9 @@
 
 All matching is blocked by equi-joins (DOI, or first author and year); the fuzzy part
 is a residual on the block. Ambiguity gives null, never a best guess.
+
+Joins of entries and works are merged: their tables are small as files and large in
+memory, where a broadcast would hold them whole in the driver.
 """
 
 from __future__ import annotations
@@ -47,11 +50,11 @@ def resolve_entries(entries: DataFrame, works: DataFrame, owners: DataFrame | No
     work = works.withColumn("title_sets", F.transform(F.filter("titles", lambda t: F.trim(t) != ""), title_words)).withColumn("block", block_key(F.col("authors"), F.col("year")))
     if owners is None:
         owners = work.where("doi is not null").groupBy("doi").agg(F.min_by("path", "ord").alias("owner"))
-    hit = entry.join(owners, "doi", "left").select("entry_id", "from_path", "owner", "block", "doi", "year", "authors", "et_al", "text_words")
+    hit = entry.join(owners.hint("merge"), "doi", "left").select("entry_id", "from_path", "owner", "block", "doi", "year", "authors", "et_al", "text_words")
     open_ = cut(hit.where("owner is null and block is not null and from_path is not null").drop("owner"), "open-entries")
     side = cut(work.where("block is not null and path is not null").select("block", "path", "doi", "year", "authors", "title_sets"), "open-works")
     direct = F.when(F.col("owner") != F.col("from_path"), F.col("owner"))
-    found = hit.join(_only_match(open_, side), "entry_id", "left")
+    found = hit.join(_only_match(open_, side).hint("merge"), "entry_id", "left")
     return found.select("entry_id", F.when(F.col("owner").isNotNull(), direct).otherwise(F.col("found")).alias("path"))
 
 
@@ -70,20 +73,20 @@ def _only_match(entries: DataFrame, works: DataFrame) -> DataFrame:
     asked = entries.select(*alike).distinct()
     named = classes.select("block", F.struct(F.lit(None).cast("string").alias("doi"), "year", "authors", "title_sets").alias("w"), *(c for c in classes.columns if c[:1] in "nm"))
     no_doi = lambda c: F.lit(None).cast("string") if c == "doi" else F.col(c)
-    pairs = asked.join(named, "block").where(entry_matches(no_doi, lambda c: F.col(f"w.{c}")))
+    pairs = asked.join(named.hint("merge"), "block").where(entry_matches(no_doi, lambda c: F.col(f"w.{c}")))
     matched = pairs.groupBy(*alike).agg(*(f(c).alias(c) for n in "nm" for f, c in ((F.sum, n), (F.min, f"{n}_first"), (F.max, f"{n}_last"))))
     matched = cut(matched, "matched-entries")
 
     # DOIs that are the beginning of one another, or equal
     begins = lambda rows, name, less: rows.where(F.length("doi") >= less).select("block", F.col("doi").alias(name), F.explode(F.sequence(F.lit(0), F.length("doi") - less)).alias("l"))
     own, other = (x.where("doi is not null").select("block", "doi").distinct() for x in (entries, works))
-    longer = begins(other, "w_doi", 0).withColumn("doi", F.substring("w_doi", F.lit(1), F.col("l"))).join(own, ["block", "doi"]).select("block", "doi", "w_doi")
-    shorter = begins(own, "doi", 1).withColumn("w_doi", F.substring("doi", F.lit(1), F.col("l"))).join(other.withColumnRenamed("doi", "w_doi"), ["block", "w_doi"]).select("block", "doi", "w_doi")
-    near = entries.join(longer.union(shorter), ["block", "doi"]).join(works.select("block", F.col("doi").alias("w_doi"), "path", F.struct("doi", "year", "authors", "title_sets").alias("w")), ["block", "w_doi"])
+    longer = begins(other, "w_doi", 0).withColumn("doi", F.substring("w_doi", F.lit(1), F.col("l"))).join(own.hint("merge"), ["block", "doi"]).select("block", "doi", "w_doi")
+    shorter = begins(own, "doi", 1).withColumn("w_doi", F.substring("doi", F.lit(1), F.col("l"))).join(other.withColumnRenamed("doi", "w_doi").hint("merge"), ["block", "w_doi"]).select("block", "doi", "w_doi")
+    near = entries.join(longer.union(shorter).hint("merge"), ["block", "doi"]).join(works.select("block", F.col("doi").alias("w_doi"), "path", F.struct("doi", "year", "authors", "title_sets").alias("w")).hint("merge"), ["block", "w_doi"])
     near = near.where(F.col("path") != F.col("from_path")).where(entry_matches(lambda c: F.col(c), lambda c: F.col(f"w.{c}"))).select("entry_id", F.lit(1).alias("n"), F.col("path").alias("found"))
 
     side = matched.select(*(F.col(c).alias(f"_{c}") for c in alike), *(c for c in matched.columns if c not in alike))
-    rows = entries.join(side, (F.col("block") == F.col("_block")) & F.col("text_words").eqNullSafe(F.col("_text_words")) & F.col("et_al").eqNullSafe(F.col("_et_al")) & (F.col("year") == F.col("_year")) & (F.col("authors") == F.col("_authors")))
+    rows = entries.join(side.hint("merge"), (F.col("block") == F.col("_block")) & F.col("text_words").eqNullSafe(F.col("_text_words")) & F.col("et_al").eqNullSafe(F.col("_et_al")) & (F.col("year") == F.col("_year")) & (F.col("authors") == F.col("_authors")))
     n, first, last = (F.when(bare, F.col(f"n{x}")).otherwise(F.col(f"m{x}")) for x in ("", "_first", "_last"))
     left = F.filter(F.when(n == 1, F.array(first)).when(n == 2, F.array(first, last)).otherwise(F.array().cast("array<string>")), lambda p: p != F.col("from_path"))
     rows = rows.select("entry_id", F.when(n > 2, F.lit(2)).otherwise(F.size(left)).alias("n"), F.try_element_at(left, F.lit(1)).alias("found"))

@@ -230,3 +230,16 @@ def test_a_vector_is_dealt_once_however_many_blocks(spark, monkeypatch):
     got = {(r.id, r["rank"]): r.neighbour for r in out.collect()}
     assert got == {(i, k + 1): int(j) for i in range(120) for k, j in enumerate(np.argsort(-s[i])[:3])}
     assert "explode" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_entries_and_works_are_never_broadcast(spark):
+    """Small files of them are large in memory, and a broadcast is held by the driver."""
+    entries = spark.createDataFrame([(i, f"p{i}", f"10.1/{i}" if i % 2 else None, "2001", ["a"], False, f"alpha beta {i}") for i in range(40)], "entry_id long, from_path string, doi string, year string, authors array<string>, et_al boolean, text string")
+    works = spark.createDataFrame([(f"w{i}", i, f"10.1/{i}0" if i % 3 else None, "2001", ["a"], [f"alpha {i}"]) for i in range(40)], "path string, ord long, doi string, year string, authors array<string>, titles array<string>")
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    resolve.resolve_entries(entries, works).collect()
+    time.sleep(1)
+    ran = store.executionsList()
+    plans = [ran.apply(i).physicalPlanDescription() for i in range(before, ran.size())]
+    assert len(plans) > 2 and any("Join" in p for p in plans) and not any("BroadcastExchange" in p for p in plans)
