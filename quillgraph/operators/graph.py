@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.lineage import cut
-from quillgraph.operators.order import numbered
+from quillgraph.operators.order import numbered, running_sum
 
 
 def merge_edges(citations: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -131,70 +131,126 @@ def common_citers(edges: DataFrame, *, minimum: int) -> DataFrame:
     return edges.groupBy(F.col("target").alias("id")).agg(F.countDistinct("source").alias("citers")).where(F.col("citers") >= minimum)
 
 
-#: Targets and core works of one block of a product, and links that make a task.
-BLOCK_ROWS, BLOCK_BITS, TASK_LINKS = 1 << 15, 1 << 12, 250_000
+#: Links of core works and of targets that a task holds, and what a target counts at least,
+#: which bounds a block's targets.
+CORE_LINKS, ROW_LINKS, LEAST = 1 << 25, 1 << 24, 32
+
+
+def _union_sizes(places, counts, core, sizes):
+    """(place, n): the size of the union of its sources' core works, for each place. Source
+    i has counts[i] of `places` and sizes[i] of `core`, one after another. Sources that cite
+    much of the block are rows of bits, the others lists."""
+    import numpy as np
+
+    core = core.astype("i8")  # numpy looks places up by these
+    width = int(core.max()) + 1 if len(core) else 1
+    words = -(-width // 64)
+    ends = np.cumsum(sizes)
+    starts = (ends - sizes).tolist()
+    dense = np.flatnonzero(sizes > words)
+    row = np.full(len(sizes), -1)
+    row[dense] = np.arange(len(dense))
+    bits, mark = np.zeros((len(dense), words), "u8"), np.zeros(words * 64, bool)
+    for i, j in enumerate(dense.tolist()):
+        mark[:] = False
+        mark[core[starts[j] : ends[j]]] = True
+        bits[i] = np.packbits(mark, bitorder="little").view("u8")
+    lists, row, order = [core[a:b] for a, b in zip(starts, ends.tolist(), strict=True)], row.tolist(), np.argsort(places, kind="stable")
+    sources, (found, first) = np.repeat(np.arange(len(counts)), counts)[order].tolist(), np.unique(places[order], return_index=True)
+    last, out = np.append(first[1:], len(sources)).tolist(), np.zeros(len(found), "i8")
+    owner = np.zeros(width, "i4")
+    for at, (a, b) in enumerate(zip(first.tolist(), last, strict=True)):
+        mine = sources[a:b]
+        if len(mine) == 1:
+            out[at] = len(lists[mine[0]])
+            continue
+        full, thin = [row[j] for j in mine if row[j] >= 0], [lists[j] for j in mine if row[j] < 0]
+        if len(thin) > 64:  # a list is no longer than a 64th of the block
+            mark[:] = False
+            for x in thin:
+                mark[x] = True
+            thin, both = [], np.packbits(mark, bitorder="little").view("u8")
+        else:
+            both = np.zeros(words, "u8") if full else None
+        for k in range(0, len(full), 64):
+            both |= np.bitwise_or.reduce(bits[full[k : k + 64]], axis=0)
+        n = 0 if both is None else int(np.bitwise_count(both).sum(dtype="i8"))
+        if thin:
+            x = np.concatenate(thin)
+            if both is not None:
+                x = x[(both[x >> 6] >> (x & 63).astype("u8")) & np.uint64(1) == 0]
+            i = np.arange(len(x), dtype="i4")
+            owner[x] = i  # of equal works one is last
+            n += int(np.count_nonzero(owner[x] == i))
+        out[at] = n
+    return found, out
 
 
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(position, n): sizes of unions within blocks. Rows (rows, bits, places, core) come
+    """(position, n): sizes of unions within blocks. Rows (rows, base, bits, places, core) come
     sorted by block: `core` is what a source cites of the block's core works, `places` its
-    targets among the block's, and each of these gets the bits."""
+    targets among the block's, whose first one is at `base`."""
     import numpy as np
 
-    sets, used, here = np.zeros((BLOCK_ROWS, BLOCK_BITS // 64), "u8"), np.zeros(BLOCK_ROWS, bool), None
+    held: list[tuple] = []
+    here = base = None
 
-    def block() -> Iterator[pa.RecordBatch]:
-        at = np.flatnonzero(used)
-        n = np.bitwise_count(sets[at]).sum(axis=1, dtype="i8")
-        sets[at], used[at] = 0, False
-        yield pa.RecordBatch.from_arrays([pa.array(here[0] * BLOCK_ROWS + at, pa.int64()), pa.array(n)], names=["position", "n"])
+    def block() -> pa.RecordBatch:
+        found, n = _union_sizes(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(found.astype("i8") + base), pa.array(n)], names=["position", "n"])
 
     for batch in batches:
-        keys = list(zip(batch["rows"].to_pylist(), batch["bits"].to_pylist(), strict=True))
-        (places, p), (core, c) = ((batch[k].flatten().to_numpy(), np.concatenate([[0], np.cumsum(batch[k].value_lengths().to_numpy())])) for k in ("places", "core"))
-        for start in range(0, len(keys), 1024):
-            some = min(1024, len(keys) - start)
-            one = np.zeros((some, BLOCK_BITS), bool)
-            one[np.repeat(np.arange(some), np.diff(c[start : start + some + 1])), core[c[start] : c[start + some]]] = True
-            packed = np.packbits(one, axis=1).view("u8")
-            for i in range(some):
-                if keys[start + i] != here:
-                    if here is not None:
-                        yield from block()
-                    here = keys[start + i]
-                mine = places[p[start + i] : p[start + i + 1]]
-                sets[mine] |= packed[i]
-                used[mine] = True
-    if here is not None:
-        yield from block()
+        keys = np.stack([batch[k].to_numpy() for k in ("rows", "bits")], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            if tuple(keys[a]) != here:
+                if held:
+                    yield block()
+                here, base = tuple(keys[a]), batch["base"][a].as_py()
+            part = batch.slice(a, b - a)
+            held.append(tuple(x for c in ("places", "core") for x in (part[c].flatten().to_numpy(), part[c].value_lengths().to_numpy())))
+    if held:
+        yield block()
 
 
 def co_cited(edges: DataFrame, *, minimum: int = 2) -> DataFrame:
     """(id, co_cited, core_size) of each target: how many works of the core share a
     citer with it, itself excluded; and the core's size without it.
 
-    That is the size of a union of its citers' core works, so a product of two matrices of
-    bits, taken by blocks. Targets are numbered so that those with a citer in common are
-    near each other. A source's places in a block of targets and its core works in a block
-    of core works are a row each; the two meet once for each source, not for each target,
-    and a task unites them in a block of fixed size. Unions are never shuffled, only sizes."""
+    That is the size of a union of its citers' core works, so a product of two matrices, taken
+    by blocks. Targets are numbered so that those with a citer in common are near each other.
+    A source's places in a block of targets and its core works in a block of core works are a
+    row each; the two meet once for each source, not for each target, and a task unites them.
+    Blocks have as many links as a task can hold, so that a source, even one whose targets lie
+    all over, is sent to few. Unions are never shuffled, only sizes."""
+    spark = edges.sparkSession
     distinct = cut(edges.select("source", "target").distinct(), "co-edges")
     per = distinct.groupBy("target").agg(F.count(F.lit(1)).alias("citers"), F.min(F.struct(F.length("source"), "source")).alias("first"))
-    places = cut(numbered(per, "first", "target").select("target", "position", "citers"), "co-places")
-    placed = distinct.join(places, "target").select("source", "position", (F.col("citers") >= minimum).alias("core"))
-    at = F.pmod("position", F.lit(BLOCK_BITS)).cast("int")
-    lists = placed.groupBy("source", F.floor(F.col("position") / BLOCK_BITS).alias("bits")).agg(F.collect_list(at).alias("at"), F.collect_list(F.when(F.col("core"), at)).alias("core"))
-    lists = cut(lists, "co-lists")
-    across = BLOCK_ROWS // BLOCK_BITS
-    shifted = F.transform("at", lambda x: x + (F.pmod("bits", F.lit(across)) * BLOCK_BITS).cast("int"))
-    rows = lists.groupBy("source", F.floor(F.col("bits") / across).alias("rows")).agg(F.flatten(F.collect_list(shifted)).alias("places"))
-    met = rows.join(lists.where(F.size("core") > 0).select("source", "bits", "core"), "source").select("rows", "bits", "places", "core")
-    tasks = max(8, distinct.count() // TASK_LINKS)
-    united = met.repartition(tasks, "rows", "bits").sortWithinPartitions("rows", "bits").mapInArrow(_united, "position long, n long")
+    weight = F.greatest("citers", F.lit(LEAST))
+    numbers = cut(running_sum(per.withColumn("weight", weight), "weight", "first", "target").select("target", "position", "citers", "before"), "co-places")
+    whole = numbers.agg(F.sum(weight)).first()[0] or 0
+    # several blocks of targets lie in one of core works, and there are two tasks for each core
+    across = max(-(-CORE_LINKS // ROW_LINKS), -(-2 * spark.sparkContext.defaultParallelism * CORE_LINKS // max(1, whole * -(-whole // CORE_LINKS))))
+    links = max(LEAST, CORE_LINKS // across)
+    blocks = numbers.withColumn("rows", F.floor(F.col("before") / links)).withColumn("bits", F.floor(F.col("rows") / across))
+    firsts = lambda c, name: blocks.groupBy(c).agg(F.min("position").alias(name))
+    bases = blocks.select("rows", "bits").distinct().join(firsts("rows", "base"), "rows").join(firsts("bits", "bit_base"), "bits")
+    bases = cut(bases.select("rows", "base", "bits", (F.col("base") - F.col("bit_base")).cast("int").alias("shift")), "co-bases")
+    places = blocks.join(F.broadcast(bases.select("rows", "base")), "rows").select("target", "rows", (F.col("position") - F.col("base")).cast("int").alias("at"), (F.col("citers") >= minimum).alias("core"))
+    placed = distinct.join(places.hint("merge"), "target")
+    lists = placed.groupBy("source", "rows").agg(F.collect_list("at").alias("places"), F.collect_list(F.when(F.col("core"), F.col("at"))).alias("core"))
+    lists = cut(lists.join(F.broadcast(bases), "rows"), "co-lists")
+    core = lists.where(F.size("core") > 0).groupBy("source", "bits").agg(F.flatten(F.collect_list(F.transform("core", lambda x: x + F.col("shift")))).alias("core"))
+    met = lists.select("source", "rows", "base", "places").join(core.hint("merge"), "source").select("rows", "base", "bits", "places", "core")
+    high = -(-whole // CORE_LINKS) + 1
+    united = met.repartitionById(max(1, (whole // links + 1) * high), (F.col("rows") * high + F.col("bits")).cast("int")).sortWithinPartitions("rows", "bits").mapInArrow(_united, "position long, n long")
     sizes = cut(united.groupBy("position").agg(F.sum("n").alias("n")), "co-sizes")
-    size = places.agg(F.count(F.when(F.col("citers") >= minimum, 1)).alias("core_size"))
+    size = numbers.agg(F.count(F.when(F.col("citers") >= minimum, 1)).alias("core_size"))
     mine = F.when(F.col("citers") >= minimum, 1).otherwise(0)
-    return places.join(sizes, "position", "left").crossJoin(F.broadcast(size)).select(F.col("target").alias("id"), (F.coalesce("n", F.lit(0)) - mine).alias("co_cited"), (F.col("core_size") - mine).alias("core_size"))
+    return numbers.join(sizes.hint("merge"), "position", "left").crossJoin(F.broadcast(size)).select(F.col("target").alias("id"), (F.coalesce("n", F.lit(0)) - mine).alias("co_cited"), (F.col("core_size") - mine).alias("core_size"))
 
 
 def timeline(works: DataFrame) -> DataFrame:

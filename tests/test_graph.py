@@ -287,6 +287,36 @@ def test_co_citation_never_shuffles_unions(spark):
     assert got.keys() == citers.keys() and {v: got[v] for v in wanted} == wanted
 
 
+def test_co_citation_of_sources_whose_targets_lie_all_over(spark):
+    """One graph without parts: a source's works are sent to few blocks, however many targets there are."""
+    n = 1_000_000
+    table = spark.range(n).select(F.concat(F.lit("s"), F.col("id") % 2000).alias("source"), F.concat(F.lit("t"), F.pmod(F.xxhash64("id"), F.lit(400_000))).alias("target")).distinct().localCheckpoint()
+    before = shuffled(spark)
+    got = {r.id: (r.co_cited, r.core_size) for r in graph.co_cited(table).collect()}
+    assert shuffled(spark) - before < 155 * n
+    cites, citers = {}, {}
+    for u, v in table.collect():
+        cites.setdefault(u, set()).add(v)
+        citers.setdefault(v, set()).add(u)
+    core = {v for v, c in citers.items() if len(c) >= 2}
+    some = [v for v in sorted(citers) if v.endswith("777")]
+    assert got.keys() == citers.keys() and all(got[v] == (len((set().union(*(cites[u] for u in citers[v])) & core) - {v}), len(core - {v})) for v in some)
+
+
+def test_sizes_of_unions_by_lists_and_by_bits():
+    """Sources that cite much of a block, little of it, and places with very many sources."""
+    rng = np.random.default_rng(11)
+    for width in (1, 70, 5000):
+        lists = [rng.choice(width, rng.integers(1, 1 + max(1, width // (2 if i % 9 == 0 else 100))), replace=False) for i in range(300)]
+        places = [np.unique(np.append(rng.integers(0, 40, 5), 7)) for _ in lists]
+        want = {}
+        for x, at in zip(lists, places, strict=True):
+            for k in at.tolist():
+                want.setdefault(k, set()).update(x.tolist())
+        found, n = graph._union_sizes(np.concatenate(places), np.array([len(x) for x in places]), np.concatenate(lists).astype("i4"), np.array([len(x) for x in lists]))
+        assert dict(zip(found.tolist(), n.tolist(), strict=True)) == {k: len(v) for k, v in want.items()}
+
+
 def test_ties_go_by_label_as_a_reader_sorts(spark):
     rows = spark.createDataFrame([("1", 2.0, "zebra"), ("2", 2.0, "Écrin"), ("3", 2.0, "eclair"), ("4", 2.0, "Zebra"), ("5", 3.0, "zz"), ("6", 2.0, None), ("7", 2.0, "eclair")], "id string, score double, title string")
     assert [r.id for r in ranking.ranked(rows, 7, label="title").orderBy("rank").collect()] == ["5", "6", "3", "7", "2", "1", "4"]
